@@ -14,6 +14,7 @@ The plan's size depends on ``SEQ`` alone, so it is broadcast. Null and empty tex
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from millrace.llm.common import materialise, read_table
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 800_000  # words that a worker remembers; it forgets all and starts again
+_MARKS = b".,;:!?"
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -37,32 +39,69 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, and the packed ids of the words met so far by this worker."""
+    """The tokenizer, the packed ids of the words met so far by this worker, and which ids end a word."""
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
+        import numpy as np
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        last = np.zeros(tok.get_vocab_size(), bool)
+        last[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = (tok, {}, last)
     return _tokenizers[path]
 
 
+def _learn(new: list[bytes], path: str) -> None:
+    """Adds the packed ids of words; those of letters alone go through the tokenizer many at a time."""
+    import numpy as np
+
+    tok, known, last = _tokenizer(path)
+    plain = [w for w in new if w.decode().isalpha()]
+    if plain:
+        ids = np.array(tok.encode_batch_fast([" ".join(w.decode() for w in plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) == len(plain):  # each word ends in one id of the kind that ends words
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(plain, (4 * ends).tolist()):
+                known[w] = raw[lo:hi]
+                lo = hi
+    rest = [w for w in new if w not in known]
+    for w, e in zip(rest, tok.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+        known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+
+
 def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    This vocabulary never joins characters across white space, so a text's ids are those of its
-    white-space separated words (ASCII white space only, a subset of what the vocabulary drops).
+    This vocabulary lower-cases, never joins characters across white space (ASCII white space is a
+    subset of what it drops), and parts letters or digits from the marks that follow them; so a
+    text's ids are those of its lower-cased words and of the marks after them.
     """
-    tok, known = _tokenizer(path)
-    words = [t.encode("utf-8", "replace").split() for t in texts]
+    _, known, _ = _tokenizer(path)
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    words = [[] if b"<|" in t else t.lower().split() for t in raw]
     if len(known) > _CACHE_WORDS:
         known.clear()
-    new = list({w for ws in words for w in ws if w not in known})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-            known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+    new = {w for ws in words for w in ws if w not in known}
+    cut = {}
+    for w in new:
+        core = w.rstrip(_MARKS)
+        if core and core != w and core.decode()[-1].isalnum():
+            cut[w] = core, w[len(core) :]
+    need = new.difference(cut)
+    need.update(x for pair in cut.values() for x in pair if x not in known)
+    part: list[bytes] = list(need)
+    for at in range(0, len(part), 4096):
+        _learn(part[at : at + 4096], path)
+    for w, (core, marks) in cut.items():
+        known[w] = known[core] + known[marks]
     get = known.__getitem__
-    for ws in words:
-        yield b"".join(map(get, ws))
+    for t, r, ws in zip(texts, raw, words):
+        if b"<|" in r:  # it may hold the string of a special token, whose case matters
+            yield b"".join(i.to_bytes(4, "little") for i in _tokenizers[path][0].encode(t, add_special_tokens=False).ids)
+        else:
+            yield b"".join(map(get, ws))
 
 
 def pieces(docs: DataFrame, path: str, seq: int = SEQ, end: int = END) -> DataFrame:
