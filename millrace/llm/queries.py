@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, packing
+from millrace.llm import exact_dedup, fingerprint, mixing, packing, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_fingerprints": fingerprint.op9_fingerprints,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES = {"op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
