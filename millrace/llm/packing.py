@@ -27,7 +27,7 @@ from millrace.llm.common import materialise, read_table
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
-_CACHE_WORDS = 800_000  # words that a worker remembers; it forgets all and starts again
+_CACHE_WORDS = 300_000  # words that a worker remembers; it forgets all and starts again
 _MARKS = b".,;:!?"
 _tokenizers: dict[str, tuple] = {}
 
