@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, fingerprint, mixing, packing, secrets, toxicity
+from millrace.llm import exact_dedup, fingerprint, jaccard_join, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
