@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, read_table
 
 RUNS, FAN_IN = 64, 8
 _KEY = ["_sha", "_len", "_xx"]
@@ -66,16 +66,12 @@ def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     best = last.select(*[F.col(k).alias(f"k{k}") for k in _KEY], "_keep")
     same = [F.col(k) == F.col(f"k{k}") for k in _KEY]
     # equal ids: only rows that survive the join can tie, and a group limit of one takes the first of them
-    from pyspark.sql import Window
-
     left = rows.join(best, [*same, F.col("doc_id").eqNullSafe(F.col("_keep"))], "left_semi")
     one = Window.partitionBy(*_KEY).orderBy(F.xxhash64("_row"))
     return left.withColumn("_at", F.row_number().over(one)).where("_at = 1").select("_row.*").select(*names)
 
 
 def op8_exact_dedup(spark, sf_dir):
-    from millrace.llm.common import read_table
-
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table
+from millrace.llm.common import map_arrow, read_table
 
 WINDOW, STRETCH, POPULAR, PER_FILTER, BITS = 64, 64, 16, 160, 2048
 FLAT = 100  # thousandths; below it a window is nearly one byte repeated
@@ -213,7 +213,7 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["e", "n"])
 
     counts = np.zeros(1001, np.int64)
-    for r in docs.select("text").mapInArrow(count, "e int, n long").groupBy("e").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").transform(map_arrow, count, "e int, n long").groupBy("e").agg(F.sum("n").alias("n")).collect():
         counts[r["e"]] = r["n"]
     return ranks(counts)
 
@@ -247,7 +247,7 @@ def in_ranges(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
                     best[r] = i
         yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int64()), pa.array(best.values(), pa.int64())], ["r", "top"])
 
-    head = {r["r"]: r["top"] for r in ids.mapInArrow(tops, "r long, top long").groupBy("r").agg(F.max("top").alias("top")).collect()}
+    head = {r["r"]: r["top"] for r in ids.transform(map_arrow, tops, "r long, top long").groupBy("r").agg(F.max("top").alias("top")).collect()}
     used = sorted(head)
     guests: dict[int, list[int]] = {}  # id -> ranges before the one that it heads
     for i, r in enumerate(used):
@@ -266,7 +266,7 @@ def in_ranges(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
             rows = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where), pa.int64()), pa.array(np.concatenate(guest), pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], ["_range", "_guest", "doc_id", "text"])
 
-    dealt = own.mapInArrow(deal, "_range long, _guest int, doc_id long, text string")
+    dealt = own.transform(map_arrow, deal, "_range long, _guest int, doc_id long, text string")
     return dealt.repartition(max(8, parts // 4), "_range").sortWithinPartitions("_range", "_guest", F.desc("doc_id"), "text")
 
 
@@ -305,7 +305,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 rows.append((i, t))
                 size += len(t)
 
-    return in_ranges(docs).select("_range", "_guest", "doc_id", "text").mapInArrow(stream, OUT)
+    return in_ranges(docs).select("_range", "_guest", "doc_id", "text").transform(map_arrow, stream, OUT)
 
 
 def op9_fingerprints(spark, sf_dir):

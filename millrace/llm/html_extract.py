@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, read_table
+from millrace.llm.common import map_arrow, materialise, read_table
 
 SAMPLE_PAGES, LEAST_PAGES, SALTS = 8, 3, 8
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
@@ -314,10 +314,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(g, separators=(",", ":")) if g else None for g in got], pa.string())], ["host", "wrapper"])
 
     own = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("k"), "html").where("host <> ''")
-    bare = own.mapInArrow(bones, "host string, k long, mark long, bone string")
+    bare = own.transform(map_arrow, bones, "host string, k long, mark long, bone string")
     bare = bare.withColumn("at", F.row_number().over(Window.partitionBy("host", "mark").orderBy("k"))).where("at = 1")
     bare = bare.withColumn("at", F.row_number().over(Window.partitionBy("host").orderBy("k", "mark"))).where(f"at <= {SAMPLE_PAGES}")
-    return bare.groupBy("host").agg(F.collect_list("bone").alias("bones")).mapInArrow(learn, "host string, wrapper string").where("wrapper is not null")
+    return bare.groupBy("host").agg(F.collect_list("bone").alias("bones")).transform(map_arrow, learn, "host string, wrapper string").where("wrapper is not null")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     found = materialise(wrappers(pages), "wrappers").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(SALTS)).cast("int").alias("_salt"))
-    return rows.join(found, ["host", "_salt"], "left").select("page_id", "url", "html", "wrapper").mapInArrow(go, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, ["host", "_salt"], "left").select("page_id", "url", "html", "wrapper").transform(map_arrow, go, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark, sf_dir):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, materialise, read_table
+from millrace.llm.common import connected_components, map_arrow, materialise, read_table
 
 SHINGLE, RUNS, DEPTH, SMALL, SKETCH, NEAR = 5, 12, 4, 64, 64, 38
 BLOCK, BLOCK_CHARS = 1024, 16 << 20
@@ -115,7 +115,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(set_keys(sets)), pa.array(n), paths, sketch], ["doc_id", "th", "sid", "n", "paths", "sketch"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return own.mapInArrow(go, _TABLE)
+    return own.transform(map_arrow, go, _TABLE)
 
 
 def _tree(adjacent: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def _star_edges(leaves: DataFrame) -> DataFrame:
                     b.append(sid[label[i]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return leaves.mapInArrow(go, "a long, b long")
+    return leaves.transform(map_arrow, go, "a long, b long")
 
 
 def candidate_edges(reps: DataFrame, small: int = SMALL) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(groups: DataFrame) -> DataFrame:
             got.append(finish(rows))
         yield emit(got)
 
-    return groups.mapInArrow(go, _LINKS)
+    return groups.transform(map_arrow, go, _LINKS)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, read_table
+from millrace.llm.common import map_arrow, materialise, read_table
 
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, path: str, seq: int = SEQ, end: int = END) -> DataFr
                         out.append((doc, k, lo // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, cut, PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], seq: int = SEQ) -> tuple[list[tuple[int, int, int, int, int]], int]:

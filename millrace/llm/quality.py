@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, read_table
+from millrace.llm.common import map_arrow, materialise, read_table
 
 SAMPLE, SITES, EVIDENCE = 20_000, 64, 6.0
 WORD = re.compile(r"\w+")
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [measures(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "quality").mapInArrow(go, "y int, x array<double>").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "quality").transform(map_arrow, go, "y int, x array<double>").toArrow()
     y = got.column("y").to_numpy().astype(float)
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), WIDTH)
     order = np.lexsort((*x.T, y))  # the same sums however the rows arrive
@@ -122,7 +122,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(model.evidence([measures(t or "") for t in batch.column(3).slice(at, 500).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "source", "lang", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(go, "doc_id long, source string, lang string, evidence double")
+    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").transform(map_arrow, go, "doc_id long, source string, lang string, evidence double")
 
 
 def _strength(sites: DataFrame, mean: str) -> F.Column:

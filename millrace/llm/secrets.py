@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table
+from millrace.llm.common import map_arrow, read_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -244,7 +244,7 @@ def find_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
                 rows = [[{"start": s, "kind": KINDS[k], "stop": e} for s, k, e in f] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(span))], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, spans array<struct<start: long, kind: string, stop: long>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, go, "doc_id long, spans array<struct<start: long, kind: string, stop: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, read_table
+from millrace.llm.common import map_arrow, materialise, read_table
 
 SAMPLE, MOST_ENTRIES = 20_000, 5_000
 FUZZY_FROM, QUOTED, NEAR = 5, 0.85, 6
@@ -205,7 +205,7 @@ def _words_of(rows: DataFrame) -> DataFrame:
             part = items[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), *(pa.array([sign(v[k]) for _, v in part], pa.int64()) for k in range(4))], ["w", "cm", "cn", "tm", "tn"])
 
-    one = rows.mapInArrow(count, "w string, cm long, cn long, tm long, tn long")
+    one = rows.transform(map_arrow, count, "w string, cm long, cn long, tm long, tn long")
     return one.groupBy("w").agg(F.bit_or("cm").alias("cm"), F.sum("cn").alias("cn"), F.bit_or("tm").alias("tm"), F.sum("tn").alias("tn"), F.lit(1).alias("kinds"))
 
 
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             kind = pa.struct([("i", pa.int32()), ("d", pa.int32()), ("n", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([[dict(zip("idn", k)) for k in ks] for ks in keys], pa.list_(kind)), pa.array([k for _, k in found], pa.int64())], ["y", "f", "words"])
 
-    got = rows.mapInArrow(look, "y int, f array<struct<i: int, d: int, n: double>>, words long").where("size(f) > 0").collect()
+    got = rows.transform(map_arrow, look, "y int, f array<struct<i: int, d: int, n: double>>, words long").where("size(f) > 0").collect()
     by: dict[tuple[int, int], list[float]] = defaultdict(lambda: [0.0, 0.0])
     rates: dict[tuple[int, int], float] = defaultdict(float)
     for r in got:
@@ -322,7 +322,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             p = [model.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, go, "doc_id long, score double")
 
 
 def reject_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -333,7 +333,7 @@ def reject_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array([model.score(t or "") < least for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.transform(map_arrow, go, docs.schema)
 
 
 def op1_toxicity(spark, sf_dir):
