@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +30,9 @@ from millrace.llm.common import map_arrow, materialise, read_table
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
-_CACHE_WORDS = 300_000  # words that a worker remembers; it forgets all and starts again
+_CACHE_WORDS = 250_000  # words in a generation; two are remembered
 _MARKS = b".,;:!?"
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict = {}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,37 +41,78 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer, the packed ids of the words met so far by this worker, and which ids end a word."""
-    if path not in _tokenizers:
+class _Words:
+    """A tokenizer and the packed ids of words that this worker met lately, in two generations."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
-        import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words that are normalised already, and of letters alone
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        self.last = np.zeros(self.full.get_vocab_size(), bool)
+        self.last[[i for t, i in self.full.get_vocab().items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, here: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of lower-cased words."""
+        if len(self.young) > _CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        known, old = self.young, self.old
+        new = here.difference(known)
+        for w in [w for w in new if w in old]:
+            known[w] = old[w]
+            new.discard(w)
+        cut = {}
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core and core != w and core.decode()[-1].isalnum():
+                cut[w] = core, w[len(core) :]
+        need = new.difference(cut)
+        need.update(x for pair in cut.values() for x in pair if x not in known)
+        self._learn(need)
+        for w, (core, marks) in cut.items():
+            known[w] = known[core] + known[marks]
+        return {w: known[w] for w in here}  # a table of this batch alone stays in the processor's cache
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, model, pack = self.young, self.full.model, array
+        plain, rest = [], []
+        for w in new:
+            if w.isalpha() and w.isascii():
+                known[w] = pack("I", [t.id for t in model.tokenize(w.decode())]).tobytes()
+                continue
+            x = unicodedata.normalize("NFC", w.decode())
+            x = x.lower() if "\u03a3" not in x else "".join(map(str.lower, x))  # each sigma alone
+            (plain if x.isalpha() else rest).append((w, x))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.lean.encode_batch_fast([" ".join(x for _, x in part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):  # each word ends in one id of the kind that ends words
+                raw, lo = ids.tobytes(), 0
+                for (w, _), hi in zip(part, (4 * ends).tolist()):
+                    known[w] = raw[lo:hi]
+                    lo = hi
+            else:
+                rest += part
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for (w, _), e in zip(part, self.full.encode_batch_fast([w.decode() for w, _ in part], add_special_tokens=False)):
+                known[w] = _packed(e.ids)
 
-        tok = Tokenizer.from_file(path)
-        last = np.zeros(tok.get_vocab_size(), bool)
-        last[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-        _tokenizers[path] = (tok, {}, last)
-    return _tokenizers[path]
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-def _learn(new: list[bytes], path: str) -> None:
-    """Adds the packed ids of words; those of letters alone go through the tokenizer many at a time."""
-    import numpy as np
 
-    tok, known, last = _tokenizer(path)
-    plain = [w for w in new if w.decode().isalpha()]
-    if plain:
-        ids = np.array(tok.encode_batch_fast([" ".join(w.decode() for w in plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(last[ids]) + 1
-        if len(ends) == len(plain):  # each word ends in one id of the kind that ends words
-            raw, lo = ids.tobytes(), 0
-            for w, hi in zip(plain, (4 * ends).tolist()):
-                known[w] = raw[lo:hi]
-                lo = hi
-    rest = [w for w in new if w not in known]
-    for w, e in zip(rest, tok.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
-        known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+def _words(path: str) -> _Words:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path)
+    return _tokenizers[path]
 
 
 def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
@@ -78,28 +122,13 @@ def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
     subset of what it drops), and parts letters or digits from the marks that follow them; so a
     text's ids are those of its lower-cased words and of the marks after them.
     """
-    _, known, _ = _tokenizer(path)
+    own = _words(path)
     raw = [t.encode("utf-8", "replace") for t in texts]
     words = [[] if b"<|" in t else t.lower().split() for t in raw]
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    new = {w for ws in words for w in ws if w not in known}
-    cut = {}
-    for w in new:
-        core = w.rstrip(_MARKS)
-        if core and core != w and core.decode()[-1].isalnum():
-            cut[w] = core, w[len(core) :]
-    need = new.difference(cut)
-    need.update(x for pair in cut.values() for x in pair if x not in known)
-    part: list[bytes] = list(need)
-    for at in range(0, len(part), 4096):
-        _learn(part[at : at + 4096], path)
-    for w, (core, marks) in cut.items():
-        known[w] = known[core] + known[marks]
-    get = known.__getitem__
+    get = own.of(set().union(*words)).__getitem__
     for t, r, ws in zip(texts, raw, words):
         if b"<|" in r:  # it may hold the string of a special token, whose case matters
-            yield b"".join(i.to_bytes(4, "little") for i in _tokenizers[path][0].encode(t, add_special_tokens=False).ids)
+            yield _packed(own.full.encode(t, add_special_tokens=False).ids)
         else:
             yield b"".join(map(get, ws))
 
@@ -111,8 +140,8 @@ def pieces(docs: DataFrame, path: str, seq: int = SEQ, end: int = END) -> DataFr
     def cut(batches):
         stop = end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 out: list[tuple] = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encode_packed(texts, path)):
