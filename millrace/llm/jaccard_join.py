@@ -267,7 +267,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     ties = connected_components(candidate_edges(reps))
     cand = materialise(ties.select(F.col("v").alias("sid"), "root").join(reps.select("sid", "doc", "mult"), "sid"), "candidates")
     text = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce("text", F.lit("")).alias("text"))
-    with_text = materialise(cand.join(text, F.col("doc").eqNullSafe(F.col("_d"))).drop("_d"), "texts")
+    # a merge join at every size: candidates grow with the corpus, and so would a broadcast of them
+    with_text = materialise(cand.hint("merge").join(text, F.col("doc").eqNullSafe(F.col("_d"))).drop("_d"), "texts")
     blocks = with_text.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("nb"))
     dealt = with_text.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -295,7 +296,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     gone = near_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     tagged = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
-    left = tagged.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left_anti")
+    left = tagged.join(gone.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left_anti")
     return left.select("_row.*").select(*docs.columns)
 
 
