@@ -1 +1 @@
-
+"""Scalar semantics of the task store as Spark columns."""

@@ -4,3 +4,20 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query ``(spark, sf_dir) -> DataFrame`` and the SQL that gives the same rows."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+from millrace.queries import load  # noqa: E402
+
+load()
