@@ -40,7 +40,7 @@ _rng = np.random.default_rng(20)
 _MULT = (_rng.integers(1, 1 << 62, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POLY = (_rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _words: dict[str, int] = {}
-_WORDS_KEPT = 600_000
+_WORDS_KEPT = 150_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from millrace.llm.common import map_arrow, materialise, read_table
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
-_CACHE_WORDS = 250_000  # words in a generation; two are remembered
+_CACHE_WORDS = 160_000  # words in a generation; two are remembered
 _MARKS = b".,;:!?"
 _tokenizers: dict = {}
 

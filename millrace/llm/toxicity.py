@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 _OPEN, _CLOSE = "\"“„«‹‘'”", "\"”“»›’'"
 # words that report or mention what others say
 _MENTION = frozenset("said says say called calls calling quote quoted quotes word words term wrote writes mean means meaning spelled dit disait mot appelle sagte sagt wort nannte genannt dijo dice palabra llamó".split())
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 
 
 def held_out(doc_id):
