@@ -61,3 +61,13 @@ def heartbeat_gaps(beats: DataFrame) -> DataFrame:
 def seq_advance(polls: DataFrame) -> DataFrame:
     """Liveness without a clock: whether the durable sequence moved since the poll before; the first poll counts as alive."""
     return polls.withColumn("alive", F.coalesce(F.col("durable_seq") > F.lag("durable_seq").over(Window.orderBy("poll")), F.lit(True)))
+
+
+def rate_schedule(schedules: DataFrame) -> DataFrame:
+    """``schedules(name, text)`` of ``seconds:rate`` parts with running ends; one bad part rejects the whole text."""
+    p = schedules.select("name", F.posexplode(F.split("text", ",")).alias("pos", "seg"))
+    good = F.col("seg").rlike(r"\A[1-9][0-9]*:[0-9]+\z")
+    p = p.select("name", F.col("pos").cast("bigint").alias("pos"), F.when(good, F.split_part("seg", F.lit(":"), F.lit(1)).try_cast("bigint")).alias("secs"), F.when(good, F.split_part("seg", F.lit(":"), F.lit(2)).try_cast("bigint")).alias("rate"))
+    every = Window.partitionBy("name")
+    p = p.withColumn("_bad", F.count(F.when(F.col("secs").isNull(), 1)).over(every)).where("_bad = 0").drop("_bad")
+    return p.withColumn("until_s", F.sum("secs").over(every.orderBy("pos")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("inspect", "metrics", "transitions")
+MODULES = ("inspect", "metrics", "transitions", "scalars")
 
 
 def load() -> None:

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """``lines`` without the blank ones, as (line, ok, record): a bad line has ``ok`` false and a NULL record."""
+def parse_lines(lines: DataFrame, schema: str, column: str = "value", extra: list[str] = []) -> DataFrame:
+    """``lines`` without the blank ones, as (line, ok, record): a bad line has ``ok`` false and a NULL record.
+
+    ``extra`` names columns of ``lines`` to carry along.
+    """
     own = lines.where(F.trim(F.col(column)) != "")
     got = own.withColumn("record", F.from_json(column, f"{schema}, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("record").isNull() | F.col("record._corrupt_record").isNotNull()
-    return got.select(F.col(column).alias("line"), (~bad).alias("ok"), F.when(~bad, F.col("record").dropFields("_corrupt_record")).alias("record"))
+    return got.select(*extra, F.col(column).alias("line"), (~bad).alias("ok"), F.when(~bad, F.col("record").dropFields("_corrupt_record")).alias("record"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
