@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("inspect", "metrics", "transitions", "scalars")
+MODULES = ("inspect", "metrics", "transitions", "scalars", "workflow")
 
 
 def load() -> None:
