@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("inspect", "metrics", "transitions", "scalars", "workflow")
+MODULES = ("inspect", "metrics", "transitions", "scalars", "workflow", "streams")
 
 
 def load() -> None:
