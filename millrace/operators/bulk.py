@@ -35,17 +35,22 @@ def over_threshold(report: DataFrame, total: int, percents: list[float]) -> Data
     return report.select(F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("pct"), "failed").select("pct", "failed", (F.lit(total) > 0).__and__(F.col("failed") / F.lit(float(max(total, 1))) * 100.0 > F.col("pct")).alias("exceeded"))
 
 
+def _strip(x):
+    """Without white space at either end."""
+    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+
+
 def extract_fields(docs: DataFrame) -> DataFrame:
     """``docs(id, text)``: (id, title, fields) of ``KEY: value`` lines.
 
     The first colon parts a line; both sides are trimmed, keys upper-cased, empty sides skipped. The last
     value of a key wins and TITLE is kept apart. A blank text is an error row with NULL fields.
     """
-    pair = F.transform(F.split("text", "\n"), lambda s: F.struct(F.upper(F.trim(F.substring_index(s, ":", 1))).alias("k"), F.trim(F.substr(s, F.instr(s, ":") + 1)).alias("v"), (F.instr(s, ":") > 0).alias("c")))
+    pair = F.transform(F.split("text", "\n"), lambda s: F.struct(F.upper(_strip(F.substring_index(s, ":", 1))).alias("k"), _strip(F.substr(s, F.instr(s, ":") + 1)).alias("v"), (F.instr(s, ":") > 0).alias("c")))
     good = F.filter(pair, lambda p: p["c"] & (p["k"] != "") & (p["v"] != ""))
     d = docs.withColumn("_p", good)
     last = F.aggregate("_p", F.expr("CAST(map() AS MAP<STRING, STRING>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
-    blank = F.trim("text") == ""
+    blank = _strip("text") == ""
     d = d.withColumn("_m", last)
     return d.select("id", F.when(~blank, F.element_at("_m", "TITLE")).alias("title"), F.when(~blank, F.map_filter("_m", lambda k, _: k != "TITLE")).alias("fields"))
 

@@ -11,7 +11,7 @@ def parse_lines(lines: DataFrame, schema: str, column: str = "value", extra: lis
 
     ``extra`` names columns of ``lines`` to carry along.
     """
-    own = lines.where(F.trim(F.col(column)) != "")
+    own = lines.where(F.col(column).rlike(r"\S"))
     got = own.withColumn("record", F.from_json(column, f"{schema}, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("record").isNull() | F.col("record._corrupt_record").isNotNull()
     return got.select(*extra, F.col(column).alias("line"), (~bad).alias("ok"), F.when(~bad, F.col("record").dropFields("_corrupt_record")).alias("record"))
