@@ -32,6 +32,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
 _CACHE_WORDS = 160_000  # words in a generation; two are remembered
 _MARKS = b".,;:!?"
+# how byte-level vocabularies write a byte: itself where it prints, else the next character from 256 on
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _tokenizers: dict = {}
 
 
@@ -46,14 +49,9 @@ class _Words:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.full, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for words that are normalised already, and of letters alone
-        self.lean.normalizer = normalizers.Sequence([])
-        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
-        self.last = np.zeros(self.full.get_vocab_size(), bool)
-        self.last[[i for t, i in self.full.get_vocab().items() if t.endswith("</w>")]] = True
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -74,34 +72,32 @@ class _Words:
         need = new.difference(cut)
         need.update(x for pair in cut.values() for x in pair if x not in known)
         self._learn(need)
+        # a table of this batch alone stays in the processor's cache; words with marks are not remembered
+        out = {w: known[w] for w in here.difference(cut)}
         for w, (core, marks) in cut.items():
-            known[w] = known[core] + known[marks]
-        return {w: known[w] for w in here}  # a table of this batch alone stays in the processor's cache
+            out[w] = known[core] + known[marks]
+        return out
 
     def _learn(self, new: set[bytes]) -> None:
-        known, model, pack = self.young, self.full.model, array
-        plain, rest = [], []
+        known, model, rest = self.young, self.full.model, []
         for w in new:
-            if w.isalpha() and w.isascii():
-                known[w] = pack("I", [t.id for t in model.tokenize(w.decode())]).tobytes()
-                continue
-            x = unicodedata.normalize("NFC", w.decode())
-            x = x.lower() if "\u03a3" not in x else "".join(map(str.lower, x))  # each sigma alone
-            (plain if x.isalpha() else rest).append((w, x))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.lean.encode_batch_fast([" ".join(x for _, x in part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):  # each word ends in one id of the kind that ends words
-                raw, lo = ids.tobytes(), 0
-                for (w, _), hi in zip(part, (4 * ends).tolist()):
-                    known[w] = raw[lo:hi]
-                    lo = hi
+            if not w.isascii():
+                x = unicodedata.normalize("NFC", w.decode())
+                x = x.lower() if "\u03a3" not in x else "".join(map(str.lower, x))  # each sigma alone
+                if not x.isalpha():
+                    rest.append(w)
+                    continue
+                x = x.encode().decode("latin-1").translate(_BYTE_CHARS)
+            elif w.isalpha():
+                x = w.decode()
             else:
-                rest += part
+                rest.append(w)
+                continue
+            # letters alone are one word to the tokenizer: its model needs no more than their bytes
+            known[w] = array("I", [t.id for t in model.tokenize(x)]).tobytes()
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for (w, _), e in zip(part, self.full.encode_batch_fast([w.decode() for w, _ in part], add_special_tokens=False)):
+            for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 known[w] = _packed(e.ids)
 
 
