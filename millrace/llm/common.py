@@ -52,9 +52,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors."""
+    """``df.mapInArrow`` with this package on the executors, and with batches that stay small where texts are long.
+
+    The batch settings stay in the session, as the plan reads them when it runs.
+    """
     ship(df.sparkSession)
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
     return df.mapInArrow(fn, schema)
 
 
