@@ -30,7 +30,7 @@ from millrace.llm.common import map_arrow, materialise, read_table
 SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
-_CACHE_WORDS = 160_000  # words in a generation; two are remembered
+_CACHE_WORDS = 300_000  # words in a generation; two are remembered
 _MARKS = b".,;:!?"
 # how byte-level vocabularies write a byte: itself where it prints, else the next character from 256 on
 _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -61,16 +61,20 @@ class _Words:
             self.old, self.young = self.young, {}
         known, old = self.young, self.old
         new = here.difference(known)
-        for w in [w for w in new if w in old]:
-            known[w] = old[w]
-            new.discard(w)
-        cut = {}
+        seen = new.intersection(old)
+        known.update(zip(seen, map(old.__getitem__, seen)))
+        new -= seen
+        cut, need = {}, set()
         for w in new:
-            core = w.rstrip(_MARKS)
-            if core and core != w and core.decode()[-1].isalnum():
-                cut[w] = core, w[len(core) :]
-        need = new.difference(cut)
-        need.update(x for pair in cut.values() for x in pair if x not in known)
+            if w[-1] in _MARKS:
+                core = w.rstrip(_MARKS)
+                if core and core.decode()[-1].isalnum():
+                    cut[w] = core, w[len(core) :]
+                    need.add(core)
+                    need.add(cut[w][1])
+                    continue
+            need.add(w)
+        need.difference_update(known)
         self._learn(need)
         # a table of this batch alone stays in the processor's cache; words with marks are not remembered
         out = {w: known[w] for w in here.difference(cut)}
@@ -136,8 +140,8 @@ def pieces(docs: DataFrame, path: str, seq: int = SEQ, end: int = END) -> DataFr
     def cut(batches):
         stop = end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 out: list[tuple] = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encode_packed(texts, path)):
