@@ -49,7 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     if root not in _made:
         _made[root] = root
         atexit.register(_drop, spark, root)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for frames that nothing will read again."""
+    for df in frames:
+        _drop(df.sparkSession, df._millrace_path)
 
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
@@ -88,7 +96,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         hop = large.join(low, F.col("u") == F.col("k"))
         small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        cur = materialise(small.distinct(), "cc")
+        before, cur = cur, materialise(small.distinct(), "cc")
+        release(before)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

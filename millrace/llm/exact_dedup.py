@@ -59,15 +59,13 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with all of its columns: one for each text."""
     names = docs.columns
-    tagged = docs.select(F.struct(*names).alias("_row"), "doc_id", "text")
-    rows = with_digest(tagged).drop("text")
-    digests = rows.select("doc_id", *_KEY, "_run")
-    first, last = merged(digests, keep)
-    best = last.select(*[F.col(k).alias(f"k{k}") for k in _KEY], "_keep")
-    same = [F.col(k) == F.col(f"k{k}") for k in _KEY]
-    # equal ids: only rows that survive the join can tie, and a group limit of one takes the first of them
-    left = rows.join(best, [*same, F.col("doc_id").eqNullSafe(F.col("_keep"))], "left_semi")
-    one = Window.partitionBy(*_KEY).orderBy(F.xxhash64("_row"))
+    spot = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_spot")  # an id that joins by plain equality
+    rows = with_digest(docs.select(F.struct(*names).alias("_row"), "doc_id", "text")).select("_row", "doc_id", spot, *_KEY, "_run")
+    _, last = merged(rows.select("doc_id", *_KEY, "_run"), keep)
+    best = last.select(*_KEY, F.coalesce(F.col("_keep").cast("string"), F.lit("")).alias("_spot"))
+    left = rows.select("_row", *_KEY, "_spot").join(best, [*_KEY, "_spot"], "left_semi")
+    # rows that also share the id are in one partition after the join: the first of them stays
+    one = Window.partitionBy(*_KEY, "_spot").orderBy(F.xxhash64("_row"))
     return left.withColumn("_at", F.row_number().over(one)).where("_at = 1").select("_row.*").select(*names)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, map_arrow, materialise, read_table
+from millrace.llm.common import connected_components, map_arrow, materialise, read_table, release
 
 SHINGLE, RUNS, DEPTH, SMALL, SKETCH, NEAR = 5, 12, 4, 64, 64, 38
 BLOCK, BLOCK_CHARS = 1024, 16 << 20
@@ -275,6 +275,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     dealt = dealt.select("root", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "sid", "mult", "text")
     groups = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
     links = materialise(verified(groups), "links")
+    release(with_text)
     classes = connected_components(links.select(F.col("sid").alias("a"), F.col("tied").alias("b")))
     degree = links.groupBy("sid").agg(F.sum("links").alias("links"))
     every = reps.select("sid", "doc", "mult").join(classes.select(F.col("v").alias("sid"), "root"), "sid", "left").join(degree, "sid", "left")
