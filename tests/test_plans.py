@@ -84,3 +84,38 @@ def test_bulk(store):
     assert report.exceeds(49.9) and not report.exceeds(50)
     assert store.get_job("item-3")["attempts"] == 2 and store.get_job("item-2")["attempts"] == 1
     assert workers.run_bulk(store, [1, 2], pipeline, queue="q").total == 0
+
+
+def runner(step):
+    n = step["payload"]
+    if n == "wait":
+        return {"kind": "OnSignal", "payload": "woken", "key": "go", "timeout_ms": 60_000}
+    if n == "woken":
+        return {"kind": "Succeed", "result": step["signal"]}
+    if n == "bad":
+        raise workers.PermanentFailure("no way")
+    if n == "flaky":
+        if step["attempt"] < 2:
+            raise RuntimeError("again")
+        return {"kind": "Succeed", "result": step["attempt"]}
+    if n == "later":
+        return {"kind": "After", "payload": 2, "delay_ms": 5000}
+    return {"kind": "Continue", "payload": n + 1} if n < 2 else {"kind": "Succeed", "result": n}
+
+
+def test_runs(store, clock):
+    from millrace.plans.runs import Runs
+
+    ended = {}
+    runs = Runs(store, "q", lambda o: ended.__setitem__(o["run_id"], (o["status"], o["final_step"], o["result"], o["error"])))
+    assert [runs.submit("a", 0), runs.submit("a", 0), runs.submit("a", 1)] == ["New", "Duplicate", "InputMismatch"]
+    for name, start in (("b", "bad"), ("c", "wait"), ("d", "flaky"), ("e", "later"), ("f", 0)):
+        runs.submit(name, start)
+    assert runs.status("f") == "Pending" and runs.cancel("f") and not runs.cancel("nobody")
+    runs.work(runner)
+    assert ended == {"f": ("cancelled", 0, None, None), "a": ("succeeded", 2, 2, None), "b": ("failed", 0, None, "no way"), "d": ("succeeded", 0, 2, None)}
+    assert runs.status("a") is None and runs.status("c") == "Pending"
+    assert runs.signal("go", {"x": 1}) == "Delivered" and runs.signal("go", 2) == "Buffered"
+    clock.now += 5000
+    runs.work(runner)
+    assert ended["c"] == ("succeeded", 1, {"x": 1}, None) and ended["e"] == ("succeeded", 1, 2, None)
