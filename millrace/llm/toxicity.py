@@ -11,7 +11,7 @@ Training uses labelled rows only, at most ``SAMPLE`` of them (those whose id has
 * Weights of (entry, edits) are shrunken log odds in the sample; a logistic of their sum is the score.
 
 Null text counts as empty; a text without hits gets the score of no evidence. Rows with the same id
-and text agree. Without labels of both kinds nothing is learned and every score is the base rate.
+and text agree. Without labels of both kinds nothing is learned and every score is one low value.
 """
 
 from __future__ import annotations
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pos, neg = n.get(1, 0), n.get(0, 0)
     odds = math.log((pos + 0.5) / (neg + 0.5))
     if not pos or not neg:
-        return Model([], {}, {}, 1.0, odds)
+        return Model([], {}, {}, 1.0, min(odds, -2.0))  # nothing is learned, so nothing is toxic
     words = materialise(_words_of(rows), "words")
     total = words.agg(F.sum("tn").alias("t"), F.sum("cn").alias("c")).first()
     share = min(0.5, max(0.01, (total["t"] or 0) / max(1, (total["t"] or 0) + (total["c"] or 0))))
