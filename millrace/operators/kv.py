@@ -10,9 +10,12 @@ def fold(cmds: DataFrame) -> DataFrame:
     """``cmds(key, seq, op, expected, value)``, applied in order for each key.
 
     ``op``: put, delete, cas (put if the value equals ``expected``, NULL: absent) or cad (delete if it
-    does). Each step depends on the one before, so a key's commands are folded inside the JVM; the
-    state carries the value, the commands that applied and those that were refused.
+    does). A put or a delete needs no earlier state, so each begins a segment of its key; only the
+    conditional commands up to the next one are folded one after the other, inside the JVM. A hot key's
+    segments are spread over the cluster, and an array holds one segment. Rows (key, value, applied, refused).
     """
+    order = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = cmds.withColumn("seg", F.sum(F.col("op").isin("put", "delete").cast("bigint")).over(order))
     cs = F.array_sort(F.collect_list(F.struct("seq", "op", "expected", "value")))
     start = F.expr("named_struct('value', CAST(NULL AS STRING), 'applied', 0L, 'refused', 0L)")
 
@@ -22,7 +25,9 @@ def fold(cmds: DataFrame) -> DataFrame:
         new = F.when(~ok, acc["value"]).when(c["op"].isin("put", "cas"), c["value"])
         return F.struct(new.alias("value"), (acc["applied"] + ok.cast("bigint")).alias("applied"), (acc["refused"] + (~ok).cast("bigint")).alias("refused"))
 
-    return cmds.groupBy("key").agg(F.aggregate(cs, start, step).alias("s")).select("key", "s.*")
+    done = parts.groupBy("key", "seg").agg(F.aggregate(cs, start, step).alias("s"))
+    last = F.max(F.struct("seg", F.col("s.value").alias("value")))["value"]
+    return done.groupBy("key").agg(last.alias("value"), F.sum("s.applied").alias("applied"), F.sum("s.refused").alias("refused"))
 
 
 def conflicts(ops: DataFrame) -> DataFrame:

@@ -25,12 +25,17 @@ def prepared(cmds: DataFrame, now_col: str = "now") -> DataFrame:
 def fold_dedup(cmds: DataFrame) -> DataFrame:
     """Outcome of enqueues with a dedup key, in order, while each accepted job holds its key until its claim.
 
-    ``cmds(id, queue, dedup_key, enqueued_at, claimed_at)``: acceptance depends on earlier acceptance, so
-    a key's commands are folded in order inside the JVM. A key lives for one waiting job, so an array
-    holds one key's commands; without a key a command is always new.
+    ``cmds(id, queue, dedup_key, enqueued_at, claimed_at)``: acceptance depends on earlier acceptance. A
+    command that comes after every earlier one of its key is claimed is new whatever went before, so it
+    begins a segment; only the commands of a segment are folded in order, inside the JVM, and a hot key's
+    segments are spread. Without a key a command is always new.
     """
-    c = F.struct("enqueued_at", "id", F.coalesce("claimed_at", F.lit((1 << 62))).alias("until"))
-    keyed = cmds.where("dedup_key IS NOT NULL").groupBy("queue", "dedup_key").agg(F.array_sort(F.collect_list(c)).alias("cs"))
+    until = F.coalesce("claimed_at", F.lit((1 << 62))).alias("until")
+    order = Window.partitionBy("queue", "dedup_key").orderBy("enqueued_at", "id")
+    rows = cmds.where("dedup_key IS NOT NULL").select("queue", "dedup_key", "id", "enqueued_at", until)
+    free = F.col("enqueued_at") >= F.coalesce(F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 62)))
+    rows = rows.withColumn("_free", free.cast("bigint")).withColumn("seg", F.sum("_free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    keyed = rows.groupBy("queue", "dedup_key", "seg").agg(F.array_sort(F.collect_list(F.struct("enqueued_at", "id", "until"))).alias("cs"))
     start = F.expr("named_struct('held_by', CAST(NULL AS STRING), 'until', CAST(-1 AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<id: STRING, outcome: STRING, existing: STRING>>))")
 
     def step(acc, x):
