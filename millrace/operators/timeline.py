@@ -8,14 +8,32 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars as S
 
 
-def claim_order(jobs: DataFrame) -> DataFrame:
-    """Rank of each pending job within its queue: low priority number first, then id."""
-    return jobs.where("status = 'Pending'").withColumn("rank", F.row_number().over(Window.partitionBy("queue").orderBy("priority", "id")).cast("bigint"))
+def running_total(df: DataFrame, by: str, bucket: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Running sum of ``value`` within ``by`` in the order (bucket, order).
+
+    Sums of whole buckets are added up first, then rows inside a bucket, so the rows of one group are
+    spread over as many tasks as it has buckets. ``bucket`` columns must be a coarser form of the order.
+    """
+    sums = df.groupBy(by, *bucket).agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(by).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.select(by, *bucket, (F.sum("_s").over(earlier) - F.col("_s")).alias("_before"))
+    inside = Window.partitionBy(by, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_in", F.sum(value).over(inside)).join(sums, [by, *bucket]).withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
+
+
+def claim_order(jobs: DataFrame, id_head: int = 22) -> DataFrame:
+    """Rank of each pending job within its queue: low priority number first, then id.
+
+    Ids that share their first ``id_head`` characters are ranked together.
+    """
+    rows = jobs.where("status = 'Pending'").withColumns({"_head": F.substring("id", 1, id_head), "_one": F.lit(1).cast("bigint")})
+    return running_total(rows, "queue", ["priority", "_head"], ["id"], "_one", "rank").drop("_head", "_one")
 
 
 def claim_batch(jobs: DataFrame, n: int) -> DataFrame:
     """The first ``n`` of each queue; the group limit prunes before the shuffle."""
-    return claim_order(jobs).where(F.col("rank") <= n)
+    rank = F.row_number().over(Window.partitionBy("queue").orderBy("priority", "id")).cast("bigint")
+    return jobs.where("status = 'Pending'").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def step_latency(samples: DataFrame) -> DataFrame:
@@ -44,10 +62,10 @@ def state_durations(changes: DataFrame) -> DataFrame:
     return changes.withColumn("lasted_ms", F.lead("at_ms").over(w) - F.col("at_ms"))
 
 
-def running_depth(changes: DataFrame) -> DataFrame:
-    """``changes(queue, at_ms, seq, delta)``: depth after each change."""
-    w = Window.partitionBy("queue").orderBy("at_ms", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("depth", F.sum("delta").over(w))
+def running_depth(changes: DataFrame, bucket_ms: int = 21_600_000) -> DataFrame:
+    """``changes(queue, at_ms, seq, delta)``: depth after each change; times are added up by buckets first."""
+    rows = changes.withColumn("_hour", F.expr(f"at_ms div {bucket_ms}"))
+    return running_total(rows, "queue", ["_hour"], ["at_ms", "seq"], "delta", "depth").drop("_hour")
 
 
 def heartbeat_gaps(beats: DataFrame) -> DataFrame:
