@@ -64,7 +64,7 @@ def candidates(text: str, least: int = 12) -> list[tuple[int, int]]:
             lo -= 1
         end = _RUN.match(text, a).end()
         hi = end
-        while hi > lo and text[hi - 1] in ".=-_/+" and text[hi - 1] != "=":
+        while hi > lo and text[hi - 1] in ".-_/+":
             hi -= 1
         if hi - lo >= least:
             out.append((lo, hi))
@@ -76,7 +76,7 @@ def windows(text: str, lo: int, hi: int) -> list[str]:
     left = text[max(0, lo - SIDE) : lo].rjust(SIDE, "\0")
     right = text[hi : hi + SIDE].ljust(SIDE, "\0")
     body = text[lo:hi]
-    starts = range(0, max(1, len(body) - BODY + 1), 32) if len(body) <= BODY else [*range(0, len(body) - BODY, 32), len(body) - BODY]
+    starts = [0] if len(body) <= BODY else [*range(0, len(body) - BODY, 32), len(body) - BODY]
     return [left + body[s : s + BODY].ljust(BODY, "\0") + right for s in starts]
 
 
