@@ -64,3 +64,23 @@ def firings(spark: SparkSession, schedules: dict[str, str], start_ms: int, end_m
 def next_firing(spark: SparkSession, schedules: dict[str, str], now_ms: int, horizon_days: int = 366) -> DataFrame:
     """The first firing of each schedule strictly after ``now_ms``."""
     return firings(spark, schedules, now_ms, now_ms + horizon_days * 86_400_000).groupBy("name").agg(F.min("fire_at").alias("next_fire"))
+
+
+def next_after(expression: str, now_ms: int, horizon_days: int = 1500) -> int | None:
+    """The first firing strictly after ``now_ms``, for stateful callers; None beyond the horizon."""
+    from datetime import datetime, timedelta, timezone
+
+    (mi, _), (h, _), (d, d_on), (mo, _), (w, w_on) = parse(expression)
+    at = datetime.fromtimestamp((now_ms // 60_000 + 1) * 60, timezone.utc)
+    end = at + timedelta(days=horizon_days)
+    while at < end:
+        dom, dow = at.day in d, at.isoweekday() % 7 in w
+        if at.month not in mo or not ((dom or dow) if d_on and w_on else (dom and dow)):
+            at = (at + timedelta(days=1)).replace(hour=0, minute=0)
+        elif at.hour not in h:
+            at = (at + timedelta(hours=1)).replace(minute=0)
+        elif at.minute not in mi:
+            at += timedelta(minutes=1)
+        else:
+            return int(at.timestamp()) * 1000
+    return None

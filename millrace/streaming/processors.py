@@ -89,6 +89,76 @@ class LeaseTimer(StatefulProcessor):
         pass
 
 
+class CronNoBackfill(StatefulProcessor):
+    """``(name, expression, at)`` ticks: after a gap exactly the one recorded firing is emitted, the rest is dropped."""
+
+    SCHEMA = "name STRING, fire_at BIGINT, dedup_key STRING"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("next", "fire_at BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        from millrace.operators.cron import next_after
+
+        due = self.state.get()[0] if self.state.exists() else None
+        for r in sorted(rows, key=lambda r: r["at"]):
+            if due is not None and r["at"] >= due:
+                yield Row(name=key[0], fire_at=due, dedup_key=f"cron:{key[0]}:{due}")
+                due = None
+            if due is None:
+                due = next_after(r["expression"], r["at"])
+        self.state.update((due,))
+
+    def close(self) -> None:
+        pass
+
+
+class SignalWait(StatefulProcessor):
+    """``(ckey, at, kind, id, timeout_ms)``: a signal goes to the run that waits on its key, else it is
+    kept (the latest only) for the next that does; a second waiter conflicts; a timer ends a wait."""
+
+    SCHEMA = "waiter STRING, event STRING, signal STRING"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waits = handle.getValueState("waits", "id STRING, until_ms BIGINT")
+        self.kept = handle.getValueState("kept", "id STRING")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: (r["at"], r["kind"], r["id"])):
+            now = self.waits.get() if self.waits.exists() else None
+            if now is not None and r["at"] > now[1]:  # its timer has not fired yet
+                self.handle.deleteTimer(now[1])
+                self.waits.clear()
+                yield Row(waiter=now[0], event="timed_out", signal=None)
+                now = None
+            if r["kind"] == "signal":
+                if now is None:
+                    self.kept.update((r["id"],))
+                else:
+                    self.handle.deleteTimer(now[1])
+                    self.waits.clear()
+                    yield Row(waiter=now[0], event="matched", signal=r["id"])
+            elif now is not None:
+                yield Row(waiter=r["id"], event="conflict", signal=None)
+            elif self.kept.exists():
+                signal = self.kept.get()[0]
+                self.kept.clear()
+                yield Row(waiter=r["id"], event="matched", signal=signal)
+            else:
+                self.waits.update((r["id"], r["at"] + r["timeout_ms"]))
+                self.handle.registerTimer(r["at"] + r["timeout_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.waits.exists():
+            waiter, _ = self.waits.get()
+            self.waits.clear()
+            yield Row(waiter=waiter, event="timed_out", signal=None)
+
+    def close(self) -> None:
+        pass
+
+
 def stateful(stream: DataFrame, key: str, processor: type[StatefulProcessor], time_mode: str = "None", mode: str = "Update") -> DataFrame:
     """A keyed stream through a processor; timers need a watermark on the stream."""
     own = stream.groupBy(key)

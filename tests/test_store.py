@@ -240,3 +240,43 @@ def test_lease_timer(spark, tmp_path):
     out = drain(P.stateful(s, "id", P.LeaseTimer, "EventTime"), "update")
     got = {(r["id"], r["event"]) for r in out.collect()}
     assert {("a", "settled"), ("c", "ClaimLost"), ("z", "ClaimLost"), ("b", "expired"), ("c", "expired")} == got
+
+
+def stream_of(spark, rows, schema, folder):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", "0 seconds")
+
+
+def test_cron_does_not_fill_gaps(spark, tmp_path):
+    from millrace.shipping import ship
+    from millrace.streaming import processors as P
+    from millrace.streaming.run import drain
+
+    ship(spark)
+    t0 = 600_000
+    rows = [("m", "* * * * *", t0), ("m", "* * * * *", t0 + 330_000), ("m", "* * * * *", t0 + 359_999), ("m", "* * * * *", t0 + 360_000)]
+    s = stream_of(spark, rows, "name STRING, expression STRING, at BIGINT", str(tmp_path / "in"))
+    assert sorted(r["fire_at"] for r in drain(P.stateful(s, "name", P.CronNoBackfill), "update").collect()) == [t0 + 60_000, t0 + 360_000]
+
+
+def test_next_after_agrees_with_the_minutes(spark):
+    for e in ("0 9 * * 1-5", "30 6 13 * 5", "*/20 3,4 * 2 *", "59 23 31 12 *"):
+        for now in (0, 1_709_251_199_000, 1_735_689_540_000):
+            assert C.next_after(e, now) == C.next_firing(spark, {"x": e}, now, 800).first()["next_fire"]
+    assert C.next_after("0 0 31 2 *", 0) is None
+
+
+def test_signal_wait(spark, tmp_path):
+    from millrace.shipping import ship
+    from millrace.streaming import processors as P
+    from millrace.streaming.run import drain
+
+    ship(spark)
+    rows = [
+        ("a", 1000, "wait", "w1", 500), ("a", 1500, "signal", "s1", None), ("a", 2000, "signal", "s2", None), ("a", 2100, "signal", "s3", None), ("a", 3000, "wait", "w2", 100),
+        ("b", 1000, "wait", "w3", 100), ("b", 1050, "wait", "w4", 100), ("b", 1101, "signal", "s4", None), ("b", 1200, "wait", "w5", 10),
+        ("c", 1000, "wait", "w6", 100), ("z", 900_000, "signal", "s9", None),
+    ]
+    s = stream_of(spark, rows, "ckey STRING, at BIGINT, kind STRING, id STRING, timeout_ms BIGINT", str(tmp_path / "in"))
+    got = sorted((r["waiter"], r["event"], r["signal"]) for r in drain(P.stateful(s, "ckey", P.SignalWait, "EventTime"), "update").collect())
+    assert got == [("w1", "matched", "s1"), ("w2", "matched", "s3"), ("w3", "timed_out", None), ("w4", "conflict", None), ("w5", "matched", "s4"), ("w6", "timed_out", None)]
