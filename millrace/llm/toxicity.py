@@ -16,6 +16,7 @@ and text agree. Without labels of both kinds nothing is learned and every score
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -30,6 +31,9 @@ from millrace.llm.common import map_arrow, materialise, read_table
 SAMPLE, MOST_ENTRIES = 20_000, 5_000
 FUZZY_FROM, QUOTED, NEAR = 5, 0.85, 6
 WORD = re.compile(r"\w+")
+# characters put for letters, and what a word that has some goes on with
+_MASK, _REST = re.compile(r"[0-9*@$!]"), re.compile(r"[\w*@$!]*")
+_PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _OPEN, _CLOSE = "\"“„«‹‘'”", "\"”“»›’'"
 # words that report or mention what others say
 _MENTION = frozenset("said says say called calls calling quote quoted quotes word words term wrote writes mean means meaning spelled dit disait mot appelle sagte sagt wort nannte genannt dijo dice palabra llamó".split())
@@ -163,19 +167,46 @@ def quotation(text: str, spans: list[tuple[int, int]], k: int) -> float:
     return min(1.0, score)
 
 
+def masked_words(low: str) -> list[tuple[int, str]]:
+    """Start and plain form of each word that has other characters in place of some letters."""
+    out, end = [], 0
+    for m in _MASK.finditer(low):
+        a = m.start()
+        if a < end:
+            continue
+        lo = a
+        while lo > end and (low[lo - 1].isalnum() or low[lo - 1] == "_"):
+            lo -= 1
+        end = _REST.match(low, a).end()
+        run = low[lo:end].strip("!*")
+        plain = run.translate(_PLAIN)
+        if plain != run or "*" in run:
+            out.append((lo, plain))
+    return out
+
+
 def hits(text: str, lexicon: Lexicon) -> tuple[dict[tuple[int, int], float], int]:
     """For each (entry, edits) of the whole text: the sum of what quotation leaves of its hits; the number of words."""
     low = text.lower()
     words = WORD.findall(low)
     match, known = lexicon.match, lexicon.known
-    at = [i for i, w in enumerate(words) if (known[w] if w in known else match(w)) is not None]
-    if not at:
+    at = [(i, (i, words[i])) for i, w in enumerate(words) if (known[w] if w in known else match(w)) is not None]
+    masked = [(a, t) for a, t in masked_words(low) if match(t) is not None]
+    if not at and not masked:
         return {}, len(words)
     spans = [m.span() for m in WORD.finditer(low)]
     same = len(low) == len(text)
+    hit = {i for i, _ in at}
+    found = [(i, match(w)) for i, (_, w) in at]
+    for start, t in masked:  # a masked word counts as an edited one, at the first of its parts
+        i = bisect.bisect_right(spans, (start, 1 << 60)) - 1
+        i = max(i, 0) if spans and i >= 0 and spans[i][1] > start else i + 1
+        if i < len(spans) and i not in hit:
+            found.append((i, (match(t)[0], 1)))
+            hit.add(i)
     out: dict[tuple[int, int], float] = defaultdict(float)
-    for i in at:
-        out[match(words[i])] += 1 - QUOTED * quotation(text if same else low, spans, i)
+    for i, key in found:
+        out[key] += 1 - QUOTED * quotation(text if same else low, spans, i)
     return dict(out), len(words)
 
 
@@ -294,10 +325,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = [float(r["y"]) for r in got] + [0.0, 1.0]
     quiet = n[0] - sum(r["y"] == 0 for r in got), n[1] - sum(r["y"] == 1 for r in got)
     x, y, w = np.array(x), np.array(y), np.array([1.0] * len(got) + [quiet[0] + 1e-3, quiet[1] + 1e-3])
-    model.slope, model.base = _logistic(np.minimum(x, 12.0), y, w)
+    model.slope, _ = _logistic(np.minimum(x, 12.0), y, w)
+    model.base = -model.slope * _boundary(x[: len(got)], y[: len(got)])
     return model
 
 
+def _boundary(x: np.ndarray, y: np.ndarray, place: float = 0.55) -> float:
+    """Evidence that parts the classes with the fewest errors: a place inside the widest such interval."""
+    if not len(x):
+        return 3.0
+    order = np.argsort(x, kind="stable")
+    x, y = np.concatenate([[0.0], x[order]]), np.concatenate([[0.0], y[order]])
+    wrong = np.cumsum(y)[:-1] + (np.sum(y == 0) - np.cumsum(y == 0))[:-1]  # cut after each place but the last
+    gap = np.where(wrong == wrong.min(), np.diff(x), -1.0)
+    k = int(gap.argmax())
+    return float(x[k] + place * (x[k + 1] - x[k])) if gap[k] > 0 else float(x[k]) + 0.5
+
+
 def _logistic(x, y, w, steps: int = 50) -> tuple[float, float]:
     """Slope and intercept by Newton steps; the slope is held near 1 by a weak prior."""
     a, b = 1.0, -3.0

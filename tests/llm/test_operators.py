@@ -436,3 +436,11 @@ def test_tree_match_is_largest():
     b = ["r", 0, [["d", 0, [["p", 2, []]]], ["x", 0, []], ["u", 0, []]]]
     n, pairs = html_extract.tree_match(a, b)
     assert n == 4 and len(pairs) == 4 and html_extract.tree_match(a, ["q", 0, []])[0] == 0
+
+
+def test_masked_words():
+    model = toxicity.Model([("idiot", False), ("stupid", False)], {(0, 0): 8.0, (0, 1): 6.0, (1, 0): 8.0, (1, 1): 6.0}, {}, 1.4, -6.2)
+    assert all(model.score(t) > 0.5 for t in ("you 1diot", "an id*ot", "st@pid man", "$tupid man", "id!ot", "STUP1D!!!"))
+    assert all(model.score(t) < 0.5 for t in ("555 5ab +1 (555)", "@ $ ! a1 *", "!" * 50_000, "a1" * 50_000, 'he said "1diot" once'))
+    assert toxicity.masked_words("x 1d10t! a_3b") == [(2, "idiot"), (9, "a_eb")]
+    assert toxicity._boundary(np.array([1.0, 8.0, 9.0]), np.array([0.0, 1.0, 1.0])) == pytest.approx(1 + 0.55 * 7)
