@@ -34,7 +34,7 @@ from millrace.llm.common import connected_components, map_arrow, materialise, re
 
 SHINGLE, RUNS, DEPTH, SMALL, SKETCH, NEAR = 5, 12, 4, 64, 64, 38
 BLOCK, BLOCK_CHARS = 1024, 16 << 20
-SPREAD = 64
+SPREAD, SALTS = 64, 16
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(20)
 _MULT = (_rng.integers(1, 1 << 62, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -153,8 +153,13 @@ def candidate_edges(reps: DataFrame, small: int = SMALL) -> DataFrame:
     """Edges (a, b) that span, run by run and bucket by bucket, the representatives that may be near."""
     rows = reps.select("sid", F.explode("paths").alias("p")).select("sid", "p.node", "p.c", "p.d")
 
+    salt = F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("_salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+
     def sized(df, node):
-        return df.join(df.groupBy(node).agg(F.count("*").alias("_m")).where("_m > 1"), node)
+        # a bucket that very many sets share is dealt over SALTS tasks; its count is combined before it moves
+        counts = df.groupBy(node).agg(F.count("*").alias("_m")).where("_m > 1").select(node, "_m", salts)
+        return df.select("*", salt).join(counts, [node, "_salt"]).drop("_salt")
 
     two = materialise(sized(rows, "node"), "depth2")
     three = two.where(f"_m > {small}").drop("_m").withColumn("node3", F.xxhash64("node", "c"))
@@ -167,8 +172,8 @@ def candidate_edges(reps: DataFrame, small: int = SMALL) -> DataFrame:
     members = leaf.join(reps.select("sid", "sketch"), "sid").groupBy("leaf").agg(F.collect_list(F.struct("sid", "sketch")).alias("members"))
     edges = _star_edges(members.select("members"))
     rest = four.where(f"_m > {small}").select("node4", "sid")
-    centre = rest.groupBy("node4").agg(F.min("sid").alias("b"))
-    whole = rest.join(centre, "node4").where("sid <> b").select(F.col("sid").alias("a"), "b")
+    centre = rest.groupBy("node4").agg(F.min("sid").alias("b")).select("node4", "b", salts)
+    whole = rest.select("*", salt).join(centre, ["node4", "_salt"]).where("sid <> b").select(F.col("sid").alias("a"), "b")
     return edges.unionByName(whole).distinct()
 
 
