@@ -2,13 +2,15 @@
 
 1. Every page is parsed into a tree (tags that close others by implication are handled, raw elements
    are skipped whole). Its skeleton is the tree of block elements; neighbours of equal shape fold
-   into one node, as lists and paragraphs do; a node carries a hash of its own text.
-2. Of each host, up to ``SAMPLE_PAGES`` pages of different text (those whose ids hash lowest) are
-   aligned by simple tree matching. A node that keeps its text over most of them is template; a node
-   whose text varies is a slot. The sample only fits the wrapper; the wrapper is applied to all pages.
-3. A page is aligned with its host's wrapper. Dropped are: nodes aligned to a template node with the
-   same text (outside the article element), elements whose tag, role, class or id says menu, header,
-   footer, sidebar, notice, advert, form or comments, and, where a page has no article or main
+   into one node, as lists and paragraphs do; a node keeps the hashes of the own texts folded into it.
+2. A layout is the pages of a host whose outermost fork has the same elements. All different pages of a
+   layout are aligned by simple tree matching with one of them, its seed, and the pages are counted that
+   have a node and that have a text there; so are those of the whole host that have a text at a path of
+   elements. A text that ``SHARE`` of the pages with its node, or path, and ``LEAST_PAGES`` at least have
+   is template; others are slots. The seed gives nodes to count at and decides nothing.
+3. A page is aligned with its layout's seed. Dropped are: the own text of blocks that is template there
+   or at their path (outside the article element), elements whose tag, role, class or id says menu,
+   header, footer, sidebar, notice, advert, form or comments, and, where a page has no article or main
    element, blocks that are mostly links.
 
 Character references are decoded, white space inside a block (a line break too) becomes one space,
@@ -19,18 +21,20 @@ no wrapper. Text in no block of its own counts as a block between its neighbours
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialise, read_table
 
-SAMPLE_PAGES, LEAST_PAGES, SALTS = 8, 3, 8
+LEAST_PAGES, SHARE, SALTS, COUNTED = 3, 0.6, 8, 100_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title select".split())
@@ -47,10 +51,16 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "main", "links", "shape", "text")
+    __slots__ = ("tag", "parent", "items", "drop", "main", "name")
 
     def __init__(self, tag, parent):
-        self.tag, self.parent, self.items, self.drop, self.main = tag, parent, [], False, False
+        self.tag, self.parent, self.items, self.drop, self.main, self.name = tag, parent, [], False, False, tag
+
+
+def _name(tag: str, rest: str) -> str:
+    """The tag with the words of class, id and role that hold no digit."""
+    words = {w for m in _CLASS.finditer(rest) if m[1].lower() in ("class", "id", "role") for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    return ".".join([tag, *sorted(w for w in words if not any(c.isdigit() for c in w))])
 
 
 def _says_no(tag: str, rest: str, in_main: bool) -> bool:
@@ -113,6 +123,8 @@ def parse(page: str) -> Node:
         at.items.append(node)
         if name in VOID or m["rest"].endswith("/"):
             continue
+        if m["rest"]:
+            node.name = _name(name, m["rest"])
         inside = at
         while inside is not None and not inside.main:
             inside = inside.parent
@@ -144,33 +156,49 @@ def _blocks_in(node: Node) -> list[Node]:
     return out
 
 
-def skeleton(node: Node) -> list:
-    """[tag, text hash (0: none), kids, nodes folded into it], the last for use on this page alone."""
+def skeleton(node: Node, path: int = 0) -> list:
+    """[tag, shape, kids, texts (block, path, hash) of the blocks folded into the node]; drop marks have no text."""
+    path = zlib.crc32(f"{path}/{node.name}".encode("utf-8", "replace"))
+    if node.drop:
+        return [node.tag, zlib.crc32(node.tag.encode("utf-8", "replace")), [], []]
     own = " ".join(_own(node).split())
     kids: list[list] = []
     for k in _blocks_in(node):
-        s = skeleton(k)
-        if kids and kids[-1][0] == s[0] and kids[-1][2:3] == s[2:3] == [[]]:
-            kids[-1][1] = zlib.crc32(f"{kids[-1][1]},{s[1]}".encode())
-            kids[-1][3].append(k)
-        elif kids and kids[-1][0] == s[0] and _shape(kids[-1]) == _shape(s):
-            kids[-1][1] = zlib.crc32(f"{_flat(kids[-1])},{_flat(s)}".encode())
-            kids[-1][3].append(k)
+        s = skeleton(k, path)
+        if kids and kids[-1][:2] == s[:2]:
+            _fold(kids[-1], s)
         else:
             kids.append(s)
-    return [node.tag, zlib.crc32(own.encode("utf-8", "replace")) or 1 if own else 0, kids, [node]]
+    shape = zlib.crc32(",".join([node.tag, *(str(k[1]) for k in kids)]).encode("utf-8", "replace"))
+    return [node.tag, shape, kids, [(node, path, zlib.crc32(own.encode("utf-8", "replace")) or 1)] if own else []]
 
 
-def _shape(s: list) -> str:
-    return s[0] + "(" + ",".join(_shape(k) for k in s[2]) + ")"
+def _fold(a: list, b: list) -> None:
+    a[3] += b[3]
+    for p, q in zip(a[2], b[2]):
+        _fold(p, q)
 
 
-def _flat(s: list) -> str:
-    return f"{s[1]}(" + ",".join(_flat(k) for k in s[2]) + ")"
+def _plain(s: list) -> list:
+    return [s[0], sorted({(path, text) for _, path, text in s[3]}), [_plain(k) for k in s[2]]]
 
 
-def _plain(s: list) -> list:
-    return [s[0], s[1], [_plain(k) for k in s[2]]]
+def _numbered(s: list, at: list[int]) -> list:
+    """A seed: [tag, number of the node, kids]."""
+    at[0] += 1
+    return [s[0], at[0], [_numbered(k, at) for k in s[2]]]
+
+
+def layout(root: Node) -> int:
+    """Names the elements of the outermost fork of a page."""
+    at = root
+    while True:
+        kids = [k for k in _blocks_in(at) if k.tag != "head"]
+        if len(kids) != 1 or not _blocks_in(kids[0]):
+            break
+        at = kids[0]
+    names = [k.name for k in kids]
+    return zlib.crc32("|".join([at.name, *(n for i, n in enumerate(names) if not i or n != names[i - 1])]).encode("utf-8", "replace"))
 
 
 def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
@@ -197,24 +225,30 @@ def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return 1 + best[-1][-1], pairs
 
 
-def induce(skeletons: list[list]) -> list | None:
-    """Wrapper: the tree of the page that matches the others best; text hashes stay at template nodes alone."""
-    if len(skeletons) < LEAST_PAGES:
-        return None
-    size = [[tree_match(a, b)[0] if i != j else 0 for j, b in enumerate(skeletons)] for i, a in enumerate(skeletons)]
-    seed = max(range(len(skeletons)), key=lambda i: (sum(size[i]), -i))
-    met: dict[int, list[int]] = {}
-    for j, other in enumerate(skeletons):
-        if j != seed:
-            for p, q in tree_match(skeletons[seed], other)[1]:
-                met.setdefault(id(p), []).append(int(bool(p[1]) and p[1] == q[1]))
+def _walk(s: list):
+    yield s
+    for k in s[2]:
+        yield from _walk(k)
 
-    def keep(s: list) -> list:
-        seen = met.get(id(s), [])
-        constant = s[1] and len(seen) >= LEAST_PAGES - 1 and sum(seen) >= 0.6 * len(seen)
-        return [s[0], s[1] if constant else 0, [keep(k) for k in s[2]]]
 
-    return keep(skeletons[seed])
+def count_page(bone: list, seed: list | None, met: Counter, host: str, lay: int) -> None:
+    """Count the texts (0: any or none) of a page at the paths of its host and at the nodes of its layout's seed."""
+    at = {(0, path, text) for s in _walk(bone) for path, text in s[1]}
+    at |= {(0, path, 0) for _, path, _ in at}
+    for p, q in tree_match(bone, seed)[1] if seed else ():
+        at |= {(1, q[1], 0)} | {(1, q[1], text) for _, text in p[1]}
+    for kind, node, text in at:
+        met[host, lay if kind else 0, kind, node, text] += 1
+
+
+def template_blocks(root: Node, seed: list | None, of_layout: frozenset, of_host: frozenset) -> set[int]:
+    """Blocks of a page whose own text is template."""
+    bone, out = skeleton(root), set()
+    for s in _walk(bone):
+        out.update(id(n) for n, path, text in s[3] if (path, text) in of_host)
+    for p, q in tree_match(bone, seed)[1] if seed else ():
+        out.update(id(n) for n, _, text in p[3] if (q[1], text) in of_layout)
+    return out
 
 
 # ---------------------------------------------------------------- extraction
@@ -232,11 +266,12 @@ def _link_share(node: Node) -> tuple[int, int]:
     return inside, total
 
 
-def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool) -> None:
+def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool, mute: bool = False) -> None:
     for x in node.items:
         if isinstance(x, str):
-            out[-1].append(x)
-        elif x.drop or id(x) in skip:
+            if not mute:
+                out[-1].append(x)
+        elif x.drop:
             out.append([])
         elif x.tag in VOID:
             if x.tag == "hr":
@@ -246,7 +281,7 @@ def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool) -> N
         elif x.tag in INLINE:
             if x.tag in ("td", "th"):
                 out[-1].append(" ")
-            _collect(x, skip, out, weigh)
+            _collect(x, skip, out, weigh, mute)
         else:
             if weigh and x.tag in ("ul", "ol", "div", "p", "section", "table"):
                 links, total = _link_share(x)
@@ -254,7 +289,7 @@ def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool) -> N
                     out.append([])
                     continue
             out.append([])
-            _collect(x, skip, out, weigh)
+            _collect(x, skip, out, weigh, id(x) in skip)
             out.append([])
 
 
@@ -266,7 +301,7 @@ def _mains(node: Node) -> list[Node]:
     return out
 
 
-def main_text(page: str | None, wrapper: list | None = None) -> str:
+def main_text(page: str | None, wrapper: tuple | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
@@ -276,12 +311,10 @@ def main_text(page: str | None, wrapper: list | None = None) -> str:
         mains = _mains(mains[0]) or mains
     skip: set[int] = set()
     if wrapper is not None and not mains:
-        for page_node, wrap_node in tree_match(skeleton(root), wrapper)[1]:
-            if page_node[1] and page_node[1] == wrap_node[1]:
-                skip.update(id(n) for n in page_node[3])
+        skip = template_blocks(root, *wrapper)
     out: list[list[str]] = [[]]
     for top in mains or [root]:
-        _collect(top, skip, out, not mains)
+        _collect(top, skip, out, not mains, id(top) in skip)
         out.append([])
     blocks = (" ".join(_html.unescape("".join(b)).split()) for b in out)
     return "\n".join(b for b in blocks if b)
@@ -294,50 +327,87 @@ def _host(url):
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows (host, wrapper): the induced wrapper of each host with enough different pages, as JSON."""
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, lay, seed, of_layout) and (host, of_host): seeds as JSON, and texts that are template."""
 
     def bones(batches):
         for batch in batches:
-            host, key, mark, bone = [], [], [], []
-            for h, k, page in zip(*(c.to_pylist() for c in batch.columns)):
-                s = json.dumps(_plain(skeleton(parse(page or ""))), separators=(",", ":"))
+            host, lay, mark, bone = [], [], [], []
+            for h, page in zip(*(c.to_pylist() for c in batch.columns)):
+                root = parse(page or "")
+                s = json.dumps(_plain(skeleton(root)), separators=(",", ":"))
                 host.append(h)
-                key.append(k)
-                mark.append(zlib.crc32(s.encode()))
+                lay.append(layout(root))
+                mark.append(int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 bone.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(mark, pa.int64()), pa.array(bone, pa.string())], ["host", "k", "mark", "bone"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(lay, pa.int64()), pa.array(mark, pa.int64()), pa.array(bone, pa.string())], ["host", "lay", "mark", "bone"])
 
-    def learn(batches):
-        for batch in batches:
-            got = [induce([json.loads(s) for s in sorted(x)]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(g, separators=(",", ":")) if g else None for g in got], pa.string())], ["host", "wrapper"])
+    def emit(met):
+        rows = list(zip(*((*key, n) for key, n in met.items()))) or [()] * 6
+        met.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(rows)], ["host", "lay", "kind", "node", "text", "n"])
 
-    own = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("k"), "html").where("host <> ''")
-    bare = own.transform(map_arrow, bones, "host string, k long, mark long, bone string")
-    bare = bare.withColumn("at", F.row_number().over(Window.partitionBy("host", "mark").orderBy("k"))).where("at = 1")
-    bare = bare.withColumn("at", F.row_number().over(Window.partitionBy("host").orderBy("k", "mark"))).where(f"at <= {SAMPLE_PAGES}")
-    return bare.groupBy("host").agg(F.collect_list("bone").alias("bones")).transform(map_arrow, learn, "host string, wrapper string").where("wrapper is not null")
+    def count(batches):
+        met: Counter = Counter()
+        known: dict[str, list] = {}
+        for batch in batches:
+            for host, lay, bone, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                count_page(json.loads(bone), _seed(seed, known), met, host, lay)
+            if len(met) > COUNTED:
+                yield emit(met)
+        yield emit(met)
+
+    own = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
+    bare = own.transform(map_arrow, bones, "host string, lay long, mark long, bone string")
+    bare = materialise(bare.groupBy("host", "lay", "mark").agg(F.first("bone").alias("bone")), "bones")
+    seeds = bare.groupBy("host", "lay").agg(F.min("mark").alias("mark"), F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}").drop("n")
+    seeds = materialise(bare.join(seeds, ["host", "lay", "mark"]).select("host", "lay", F.col("bone").alias("seed")), "seeds")
+    dealt = bare.withColumn("_salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).join(_salted(seeds), ["host", "lay", "_salt"], "left")
+    met = dealt.select("host", "lay", "bone", "seed").transform(map_arrow, count, "host string, lay long, kind long, node long, text long, n long")
+    at = ["host", "lay", "kind", "node"]
+    met = materialise(met.groupBy(*at, "text").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}"), "met")
+    constant = met.where("text <> 0").join(met.where("text = 0").select(*at, F.col("n").alias("pages")), at).where(f"n >= {SHARE} * pages")
+    constant = constant.groupBy("host", "lay", "kind").agg(F.collect_list(F.array("node", "text")).alias("texts"))
+    of_layout = seeds.join(constant.where("kind = 1").select("host", "lay", F.col("texts").alias("of_layout")), ["host", "lay"])
+    return materialise(of_layout, "of_layout"), materialise(constant.where("kind = 0").select("host", F.col("texts").alias("of_host")), "of_host")
+
+
+def _seed(seed: str | None, known: dict[str, list]) -> list | None:
+    if seed is None:
+        return None
+    if seed not in known:
+        if len(known) > 5000:
+            known.clear()
+        known[seed] = _numbered(json.loads(seed), [0])
+    return known[seed]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of ``pages(page_id, url, html)``."""
 
+    def lay(batches):
+        for batch in batches:
+            got = [layout(parse(page)) if page else 0 for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], ["page_id", "url", "html", "host", "_salt", "lay"])
+
     def go(batches):
         known: dict[str, list] = {}
         for batch in batches:
             text = []
-            for page, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if w is not None and w not in known:
-                    if len(known) > 5000:
-                        known.clear()
-                    known[w] = json.loads(w)
-                text.append(main_text(page, known.get(w)))
+            for page, seed, of_layout, of_host in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                wrapper = (_seed(seed, known), frozenset(map(tuple, of_layout or ())), frozenset(map(tuple, of_host or ())))
+                text.append(main_text(page, wrapper))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    found = materialise(wrappers(pages), "wrappers").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_layout, of_host = wrappers(pages)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(SALTS)).cast("int").alias("_salt"))
-    return rows.join(found, ["host", "_salt"], "left").select("page_id", "url", "html", "wrapper").transform(map_arrow, go, "page_id long, url string, text string, n_chars long")
+    rows = rows.transform(map_arrow, lay, "page_id long, url string, html string, host string, _salt int, lay long")
+    rows = rows.join(_salted(of_layout), ["host", "lay", "_salt"], "left").join(_salted(of_host), ["host", "_salt"], "left")
+    return rows.select("page_id", "url", "html", "seed", "of_layout", "of_host").transform(map_arrow, go, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark, sf_dir):

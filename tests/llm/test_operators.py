@@ -431,6 +431,15 @@ def test_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_counts_all_pages_of_a_layout(spark):
+    """A layout that one page in 31 has, and a constant block beside a varying one of its tag."""
+    often = '<body><section class="a"><p>Often {0}</p></section><section class="z"><p>Old hands wrote this</p></section></body>'
+    seldom = '<body><div class="b"><div>Seldom {0}</div><div>Write to us by post</div></div><div class="c"><p>More {0}</p></div><div class="d">Made by hand</div></body>'
+    site = [(i, f"http://both.example.org/{i}", (seldom if i % 31 == 7 else often).format(i)) for i in range(310)]
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame(site, "page_id BIGINT, url STRING, html STRING")))}
+    assert got == {i: f"Seldom {i}\nMore {i}" if i % 31 == 7 else f"Often {i}" for i in range(310)}
+
+
 def test_tree_match_is_largest():
     a = ["r", 0, [["p", 1, []], ["d", 0, [["p", 2, []], ["p", 3, []]]], ["u", 0, []]]]
     b = ["r", 0, [["d", 0, [["p", 2, []]]], ["x", 0, []], ["u", 0, []]]]
