@@ -218,13 +218,9 @@ def verified(groups: DataFrame) -> DataFrame:
     number of documents that it links to there, and the set that stands for its component there."""
 
     def finish(rows):
-        best = {r[1]: r for r in rows}  # a set that more rows carry counts once
-        rows = list(best.values())
-        if len(rows) < 2:
-            return [], [], []
         sets = shingle_sets([r[3] or "" for r in rows])
-        ok = [k for k, key in enumerate(set_keys(sets).tolist()) if key == rows[k][1]]
-        rows, sets = [rows[k] for k in ok], [sets[k] for k in ok]
+        best = {rows[k][1]: k for k, key in enumerate(set_keys(sets).tolist()) if key == rows[k][1]}  # a set that more rows carry counts once
+        rows, sets = [rows[k] for k in best.values()], [sets[k] for k in best.values()]
         if len(rows) < 2:
             return [], [], []
         n, side = np.array([len(s) for s in sets]), np.array([r[0] for r in rows])
@@ -267,13 +263,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     table = materialise(shingle_table(docs), "shingles")
     real = table.where("n > 0")
     run = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SPREAD)).cast("int").alias("_run")
-    one = real.groupBy("sid", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("mult"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    one = real.groupBy("sid", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "th")).alias("at"), F.count("*").alias("mult"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = materialise(one, "sets")
     ties = connected_components(candidate_edges(reps))
-    cand = materialise(ties.select(F.col("v").alias("sid"), "root").join(reps.select("sid", "doc", "mult"), "sid"), "candidates")
-    text = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce("text", F.lit("")).alias("text"))
+    cand = materialise(ties.select(F.col("v").alias("sid"), "root").join(reps.select("sid", F.xxhash64("at.doc_id", "at.th").alias("_row"), "mult"), "sid"), "candidates")
+    body = F.coalesce("text", F.lit(""))
+    text = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(body)).alias("_row"), body.alias("text"))
     # a merge join at every size: candidates grow with the corpus, and so would a broadcast of them
-    with_text = materialise(cand.hint("merge").join(text, F.col("doc").eqNullSafe(F.col("_d"))).drop("_d"), "texts")
+    with_text = cand.hint("merge").join(text, "_row")
+    # rows of equal id and text are one
+    with_text = materialise(with_text.groupBy("_row", "sid", "root", "mult").agg(F.first("text").alias("text")).drop("_row"), "texts")
     blocks = with_text.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("nb"))
     dealt = with_text.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))

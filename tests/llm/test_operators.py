@@ -313,6 +313,21 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     check_classes(rows(jaccard_join.near_classes(df)), list(range(len(texts))), texts)
 
 
+def test_near_copies_of_equal_and_null_ids(spark):
+    """Rows that share an id, or have none, and differ in text keep their links."""
+    rng = np.random.default_rng(6)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    ids, texts = [], []
+    for i in range(12):
+        base = say(100)
+        edit = [*base[:-1], "changed"]
+        for number, words in ((i, base), (i, say(60)), (i, say(80)), (100 + i, edit), (None, [*base, "more"]), (None, say(70))):
+            ids.append(number)
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id BIGINT, text STRING")
+    check_classes(rows(jaccard_join.near_classes(df)), ids, texts)
+
+
 # ---------------------------------------------------------------- 1
 
 
