@@ -9,9 +9,10 @@
    elements. A text that ``SHARE`` of the pages with its node, or path, and ``LEAST_PAGES`` at least have
    is template; others are slots. The seed gives nodes to count at and decides nothing.
 3. A page is aligned with its layout's seed. Dropped are: the own text of blocks that is template there
-   or at their path (outside the article element), elements whose tag, role, class or id says menu,
-   header, footer, sidebar, notice, advert, form or comments, and, where a page has no article or main
-   element, blocks that are mostly links.
+   or at their path (inside an article or main element at ``MAIN_SHARE``, and only if half of the
+   element's text stays: else its host's pages are near copies of each other), elements whose tag, role,
+   class or id says menu, header, footer, sidebar, notice, advert, form or comments, and, where a page
+   has no article or main element, blocks that are mostly links.
 
 Character references are decoded, white space inside a block (a line break too) becomes one space,
 blocks are trimmed and joined in page order by one newline. Null and empty html, and pages without
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialise, read_table
 
-LEAST_PAGES, SHARE, SALTS, COUNTED = 3, 0.6, 8, 100_000
+LEAST_PAGES, SHARE, MAIN_SHARE, SALTS, COUNTED = 3, 0.6, 0.9, 8, 100_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title select".split())
@@ -241,14 +242,17 @@ def count_page(bone: list, seed: list | None, met: Counter, host: str, lay: int)
         met[host, lay if kind else 0, kind, node, text] += 1
 
 
-def template_blocks(root: Node, seed: list | None, of_layout: frozenset, of_host: frozenset) -> set[int]:
-    """Blocks of a page whose own text is template."""
-    bone, out = skeleton(root), set()
-    for s in _walk(bone):
-        out.update(id(n) for n, path, text in s[3] if (path, text) in of_host)
-    for p, q in tree_match(bone, seed)[1] if seed else ():
-        out.update(id(n) for n, _, text in p[3] if (q[1], text) in of_layout)
-    return out
+def template_blocks(root: Node, seed: list | None, of_layout: dict, of_host: dict) -> tuple[set[int], set[int]]:
+    """Blocks of a page whose own text is template, and those where it is at ``MAIN_SHARE``."""
+    bone, often, always = skeleton(root), set(), set()
+    found = [(n, of_host.get((path, text))) for s in _walk(bone) for n, path, text in s[3]]
+    found += [(n, of_layout.get((q[1], text))) for p, q in (tree_match(bone, seed)[1] if seed else ()) for n, _, text in p[3]]
+    for n, share in found:
+        if share is not None:
+            often.add(id(n))
+            if share:
+                always.add(id(n))
+    return often, always
 
 
 # ---------------------------------------------------------------- extraction
@@ -310,14 +314,34 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
     if len(mains) == 1 and mains[0].tag == "main":  # a main element may hold the article and more
         mains = _mains(mains[0]) or mains
     skip: set[int] = set()
-    if wrapper is not None and not mains:
-        skip = template_blocks(root, *wrapper)
+    if wrapper is not None:
+        often, always = template_blocks(root, *wrapper)
+        inside = {id(x) for top in mains for x in _nodes(top)}
+        skip = often - inside
+        if 2 * _size(_texts(mains, always, False)) >= _size(_texts(mains, set(), False)):
+            skip |= always & inside
+    return "\n".join(_texts(mains or [root], skip, not mains))
+
+
+def _nodes(node: Node):
+    yield node
+    for x in node.items:
+        if not isinstance(x, str):
+            yield from _nodes(x)
+
+
+def _texts(tops: list[Node], skip: set[int], weigh: bool) -> list[str]:
+    """The blocks of text in ``tops``."""
     out: list[list[str]] = [[]]
-    for top in mains or [root]:
-        _collect(top, skip, out, not mains, id(top) in skip)
+    for top in tops:
+        _collect(top, skip, out, weigh, id(top) in skip)
         out.append([])
     blocks = (" ".join(_html.unescape("".join(b)).split()) for b in out)
-    return "\n".join(b for b in blocks if b)
+    return [b for b in blocks if b]
+
+
+def _size(blocks: list[str]) -> int:
+    return sum(map(len, blocks))
 
 
 # ---------------------------------------------------------------- Spark
@@ -371,7 +395,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = ["host", "lay", "kind", "node"]
     met = materialise(met.groupBy(*at, "text").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}"), "met")
     constant = met.where("text <> 0").join(met.where("text = 0").select(*at, F.col("n").alias("pages")), at).where(f"n >= {SHARE} * pages")
-    constant = constant.groupBy("host", "lay", "kind").agg(F.collect_list(F.array("node", "text")).alias("texts"))
+    constant = constant.groupBy("host", "lay", "kind").agg(F.collect_list(F.array("node", "text", F.expr(f"CAST(n >= {MAIN_SHARE} * pages AS BIGINT)"))).alias("texts"))
     of_layout = seeds.join(constant.where("kind = 1").select("host", "lay", F.col("texts").alias("of_layout")), ["host", "lay"])
     return materialise(of_layout, "of_layout"), materialise(constant.where("kind = 0").select("host", F.col("texts").alias("of_host")), "of_host")
 
@@ -399,7 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             text = []
             for page, seed, of_layout, of_host in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                wrapper = (_seed(seed, known), frozenset(map(tuple, of_layout or ())), frozenset(map(tuple, of_host or ())))
+                wrapper = (_seed(seed, known), *({(at, t): share for at, t, share in found or ()} for found in (of_layout, of_host)))
                 text.append(main_text(page, wrapper))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -455,6 +455,17 @@ def test_wrapper_counts_all_pages_of_a_layout(spark):
     assert got == {i: f"Seldom {i}\nMore {i}" if i % 31 == 7 else f"Often {i}" for i in range(310)}
 
 
+def test_wrapper_decides_inside_articles(spark):
+    """Lines that a host repeats in its articles go; a heading that many share and near copies stay."""
+    page = "<body><article><h1>Tale {0}</h1><div>Pass this on to friends</div><p>It begins with {0} and {0} of them</p><h2>{1}</h2><p>It ends with {0}</p><p>Write to our desk</p></article></body>"
+    site = [(i, f"http://tales.example.org/{i}", page.format(i, "Method" if i % 4 else f"Way {i}")) for i in range(40)]
+    copies = [(100 + i, f"http://copies.example.org/{i}", f"<body><article><p>A long text that every page of this host has</p><p>Copy {i}</p></article></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame(site + copies, "page_id BIGINT, url STRING, html STRING")))}
+    for i in range(40):
+        assert got[i] == f"Tale {i}\nIt begins with {i} and {i} of them\n{'Method' if i % 4 else f'Way {i}'}\nIt ends with {i}"
+    assert all(got[100 + i] == f"A long text that every page of this host has\nCopy {i}" for i in range(5))
+
+
 def test_tree_match_is_largest():
     a = ["r", 0, [["p", 1, []], ["d", 0, [["p", 2, []], ["p", 3, []]]], ["u", 0, []]]]
     b = ["r", 0, [["d", 0, [["p", 2, []]]], ["x", 0, []], ["u", 0, []]]]
