@@ -11,8 +11,9 @@
 3. A page is aligned with its layout's seed. Dropped are: the own text of blocks that is template there
    or at their path (inside an article or main element at ``MAIN_SHARE``, and only if half of the
    element's text stays: else its host's pages are near copies of each other), elements whose tag, role,
-   class or id says menu, header, footer, sidebar, notice, advert, form or comments, and, where a page
-   has no article or main element, blocks that are mostly links.
+   class or id says menu, header, footer, sidebar, notice, advert, form or comments.
+4. The outermost article and main elements are collected whole. Where a page has none, or they hold less
+   than half of what the body gives, the body is collected, less blocks outside them that are mostly links.
 
 Character references are decoded, white space inside a block (a line break too) becomes one space,
 blocks are trimmed and joined in page order by one newline. Null and empty html, and pages without
@@ -293,7 +294,7 @@ def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool, mute
                     out.append([])
                     continue
             out.append([])
-            _collect(x, skip, out, weigh, id(x) in skip)
+            _collect(x, skip, out, weigh and not x.main, id(x) in skip)
             out.append([])
 
 
@@ -311,8 +312,6 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
         return ""
     root = parse(page)
     mains = _mains(root)
-    if len(mains) == 1 and mains[0].tag == "main":  # a main element may hold the article and more
-        mains = _mains(mains[0]) or mains
     skip: set[int] = set()
     if wrapper is not None:
         often, always = template_blocks(root, *wrapper)
@@ -320,7 +319,8 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
         skip = often - inside
         if 2 * _size(_texts(mains, always, False)) >= _size(_texts(mains, set(), False)):
             skip |= always & inside
-    return "\n".join(_texts(mains or [root], skip, not mains))
+    marked, body = _texts(mains, skip, False), _texts([root], skip, True)
+    return "\n".join(marked if mains and 2 * _size(marked) >= _size(body) else body)
 
 
 def _nodes(node: Node):

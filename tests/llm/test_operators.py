@@ -466,6 +466,13 @@ def test_wrapper_decides_inside_articles(spark):
     assert all(got[100 + i] == f"A long text that every page of this host has\nCopy {i}" for i in range(5))
 
 
+def test_content_outside_the_innermost_article():
+    assert html_extract.main_text("<main><h1>Title</h1><p>lead</p><article><p>story</p></article><p>end</p></main><footer>f</footer>") == "Title\nlead\nstory\nend"
+    cards = "<body><nav>n</nav><div><h1>Title</h1><p>The whole story is told in this block, at some length.</p></div><article>card one</article><article>card two</article></body>"
+    assert html_extract.main_text(cards) == "Title\nThe whole story is told in this block, at some length.\ncard one\ncard two"
+    assert html_extract.main_text("<div>before</div><article><p>A story that is longer than the rest</p></article><div>after</div>") == "A story that is longer than the rest"
+
+
 def test_tree_match_is_largest():
     a = ["r", 0, [["p", 1, []], ["d", 0, [["p", 2, []], ["p", 3, []]]], ["u", 0, []]]]
     b = ["r", 0, [["d", 0, [["p", 2, []]]], ["x", 0, []], ["u", 0, []]]]
