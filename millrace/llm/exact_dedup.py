@@ -1,11 +1,11 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree of hash aggregations over digest runs.
 
 Each document gives (digest, id); ids deal documents into ``RUNS`` runs. A run holds every digest
 once, with its count and its extreme id. Rounds then merge ``FAN_IN`` neighbouring runs at a time
 (run number divided by ``FAN_IN``) until one logical run is left; it stays spread over the cluster by
 digest. A digest that a third of all rows share is one row per run after the first, map-side
-combined, round. The answer goes back down the same tree, so no join sees more than one run of a
-digest at a time. A digest is SHA-256 with the length and an independent 64-bit hash as a check.
+combined, round. Runs are not sorted: a round is a hash aggregation. The last level joins the first
+directly, at most ``RUNS`` rows of a digest, and these join the documents by digest and run. A digest is SHA-256 with the length and an independent 64-bit hash as a check.
 
 Null text counts as empty. Of rows that also share the id, all count and one is kept.
 """
