@@ -8,7 +8,7 @@
    its length. Ranks come from counts of (length, hash bucket) and a row number inside a bucket, so
    a length that most pieces share is ranked by many tasks.
 
-The plan's size depends on ``SEQ`` alone, so it is broadcast. Null and empty texts give the end id.
+The plan's size depends on ``SEQ`` alone, so it goes to every task, where a piece finds its slot by binary search. Null and empty texts give the end id.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class _Words:
         self.old: dict[bytes, bytes] = {}
 
     def of(self, here: set[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of lower-cased words."""
+        """Packed ids of words of normalised texts."""
         if len(self.young) > _CACHE_WORDS:
             self.old, self.young = self.young, {}
         known, old = self.young, self.old
@@ -85,25 +85,29 @@ class _Words:
     def _learn(self, new: set[bytes]) -> None:
         known, model, rest = self.young, self.full.model, []
         for w in new:
-            if not w.isascii():
-                x = unicodedata.normalize("NFC", w.decode())
-                x = x.lower() if "\u03a3" not in x else "".join(map(str.lower, x))  # each sigma alone
-                if not x.isalpha():
+            if w.isascii():
+                if w.isalpha():
+                    known[w] = self._letters(w.decode())
+                else:
                     rest.append(w)
-                    continue
-                x = x.encode().decode("latin-1").translate(_BYTE_CHARS)
-            elif w.isalpha():
-                x = w.decode()
-            else:
-                rest.append(w)
                 continue
-            # letters alone are one word to the tokenizer: its model needs no more than their bytes
-            known[w] = array("I", [t.id for t in model.tokenize(x)]).tobytes()
+            x = w.decode()
+            if x.isalpha():
+                known[w] = self._letters(w.decode("latin-1").translate(_BYTE_CHARS))
+            elif unicodedata.is_normalized("NFC", x):
+                rest.append(w)
+            else:  # lower-casing left characters that composing once more would join
+                ids = [t.id for part, _ in self.full.pre_tokenizer.pre_tokenize_str(x) for t in model.tokenize(part)]
+                known[w] = _packed(ids)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 known[w] = _packed(e.ids)
 
+    def _letters(self, x: str) -> bytes:
+        """Letters alone are one word to the tokenizer: its model needs no more than their bytes."""
+        return array("I", [t.id for t in self.full.model.tokenize(x)]).tobytes()
+
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
@@ -115,19 +119,27 @@ def _words(path: str) -> _Words:
     return _tokenizers[path]
 
 
+def _normal(text: str) -> bytes:
+    """What the tokenizer makes of a text before it looks for words: composed, then lower-cased, each character alone."""
+    if text.isascii():
+        return text.encode().lower()
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return (text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))).encode("utf-8", "replace")
+
+
 def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    This vocabulary lower-cases, never joins characters across white space (ASCII white space is a
-    subset of what it drops), and parts letters or digits from the marks that follow them; so a
-    text's ids are those of its lower-cased words and of the marks after them.
+    This vocabulary composes, lower-cases, never joins characters across white space (ASCII white space is
+    a subset of what it drops), and parts letters or digits from the marks that follow them; so a
+    text's ids are those of the words of its normal form and of the marks after them.
     """
     own = _words(path)
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    words = [[] if b"<|" in t else t.lower().split() for t in raw]
+    words = [[] if "<|" in t else _normal(t).split() for t in texts]
     get = own.of(set().union(*words)).__getitem__
-    for t, r, ws in zip(texts, raw, words):
-        if b"<|" in r:  # it may hold the string of a special token, whose case matters
+    for t, ws in zip(texts, words):
+        if "<|" in t:  # it may hold the string of a special token, whose case matters
             yield _packed(own.full.encode(t, add_special_tokens=False).ids)
         else:
             yield b"".join(map(get, ws))
@@ -208,19 +220,36 @@ def best_fit_plan(counts: dict[int, int], seq: int = SEQ) -> tuple[list[tuple[in
 
 def packed(parts: DataFrame, seq: int = SEQ) -> DataFrame:
     """``parts`` (materialised pieces) with ``sequence_id`` and ``offset``."""
-    spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = best_fit_plan(counts, seq)
-    plan = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
     buckets = max(16, sum(counts.values()) // PER_BUCKET)
     rows = parts.withColumn("_k", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     by = rows.groupBy("length", "_k").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
     by = by.select("length", "_k", before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_k").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = rows.withColumn("_at", own - 1).join(by, ["length", "_k"]).withColumn("_rank", F.col("_before") + F.col("_at"))
-    got = ranked.join(F.broadcast(plan), "length").where("_rank >= lo and _rank < hi")
-    return got.withColumn("sequence_id", F.col("first") + F.col("_rank") - F.col("lo"))
+    ranked = rows.withColumn("_at", own - 1).join(by, ["length", "_k"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_at")).cast("long").alias("_rank"))
+    return ranked.transform(map_arrow, _placer(slots), f"{PIECES}, sequence_id long, offset long")
+
+
+def _placer(slots: list[tuple[int, int, int, int, int]]):
+    """Puts each piece into the slot that holds its rank; the slots of a length tile its ranks, so a search finds it."""
+    plan = np.array(sorted(slots), np.int64).reshape(-1, 5)
+    lengths, start = np.unique(plan[:, 0], return_index=True)
+    own = {int(n): part for n, part in zip(lengths, np.split(plan, start[1:]))} if len(plan) else {}
+
+    def go(batches):
+        for batch in batches:
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                part = own[int(n)]
+                slot = part[np.searchsorted(part[:, 1], rank[at], "right") - 1]
+                seq[at], off[at] = slot[:, 3] + rank[at] - slot[:, 1], slot[:, 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return go
 
 
 def pack(docs: DataFrame, path: str | None = None, seq: int = SEQ, end: int = END) -> DataFrame:

@@ -486,3 +486,28 @@ def test_masked_words():
     assert all(model.score(t) < 0.5 for t in ("555 5ab +1 (555)", "@ $ ! a1 *", "!" * 50_000, "a1" * 50_000, 'he said "1diot" once'))
     assert toxicity.masked_words("x 1d10t! a_3b") == [(2, "idiot"), (9, "a_eb")]
     assert toxicity._boundary(np.array([1.0, 8.0, 9.0]), np.array([0.0, 1.0, 1.0])) == pytest.approx(1 + 0.55 * 7)
+
+
+def test_ids_of_every_character():
+    """Each assigned character alone, before and after marks, and after a capital; and mixed at random."""
+    import random
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    whole, path = Tokenizer.from_file(packing.vocabulary_path()), packing.vocabulary_path()
+
+    def same(texts):
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            want = [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+            assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_packed(part, path)] == want
+
+    known = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    some = [c for c in known if unicodedata.category(c) not in ("Co", "Lo") or unicodedata.normalize("NFC", c) != c]
+    for pattern, chars in (("{}.", known), ("a{}!", some), ("J{}?", some), ("!{}", some), ("İ{};x", some)):
+        same([pattern.format(c) for c in chars])
+    rng = random.Random(3)
+    pool = [chr(c) for c in (*range(0x250), *range(0x300, 0x530), *range(0x900, 0x980), 0x2028, 0x3000, 0x1F600, 0xFB01, 0x1E9E)] + list(" .,;:!?'sSİΣ") * 40
+    same(["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(10_000)] + ["TÜRKİYE'DEKİ.", "BİRİ, İKİ.", "क़. ख़!"])
