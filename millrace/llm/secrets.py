@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a maximal run of secret characters, 12 or more, that has a digit or a lower-to-upper
-change of case. The network sees the whole candidate (in overlapping windows when it is long) and
-the characters around it. It is trained in numpy on labelled findings that ``labelled_findings``
-writes from formats and from a seed; a part that training does not see calibrates the scores (a
-logistic of the raw score) and gives the threshold: the largest that keeps ``RECALL`` of the true
-findings, but never below ``LEAST``. Spans of the patterns always stay; a candidate that overlaps
-one adds nothing. Null text counts as empty; repeated rows give repeated results.
+A candidate is a maximal run of ``SHORTEST`` secret characters or more outside the spans of the patterns;
+a run that such a span cuts gives a candidate on either side. The network sees the whole candidate (in
+overlapping windows when it is long; the best counts) and the characters around it. It is trained in
+numpy on labelled findings that ``labelled_findings`` writes from formats and from a seed, on all of
+their windows; findings that training does not see calibrate the scores (a logistic of the raw score)
+and give the threshold, the largest that keeps ``RECALL`` of the true ones. Spans of the patterns always
+stay. Work is linear in the text. Null text counts as empty; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
-RECALL, LEAST = 0.985, 0.5
+RECALL, SHORTEST = 0.985, 12
 BODY, SIDE, WIDE, FILTERS = 48, 20, 5, 24
-_ANCHOR, _RUN, _LEFT = re.compile(r"[0-9]|[a-z][A-Z]"), re.compile(r"[A-Za-z0-9+/_.=-]*"), frozenset(string.ascii_letters + string.digits + "+/_.=-")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _CLASS = np.zeros(256, np.int64)  # 0: padding
 for _i, _c in enumerate(string.ascii_lowercase + string.digits):
     _CLASS[ord(_c)] = _i + 1
@@ -53,21 +53,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, least: int = 12) -> list[tuple[int, int]]:
-    out, end = [], 0
-    for m in _ANCHOR.finditer(text):
-        a = m.start()
-        if a < end:
-            continue
-        lo = a
-        while lo > end and text[lo - 1] in _LEFT:
-            lo -= 1
-        end = _RUN.match(text, a).end()
-        hi = end
+def candidates(text: str, taken: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Runs of secret characters outside ``taken``, spans in order of their starts; one pass over both."""
+    out, at = [], 0
+
+    def put(lo: int, hi: int) -> None:
         while hi > lo and text[hi - 1] in ".-_/+":
             hi -= 1
-        if hi - lo >= least:
+        while lo < hi and text[lo] in ".-_/+":
+            lo += 1
+        if hi - lo >= SHORTEST:
             out.append((lo, hi))
+
+    for m in _RUN.finditer(text):
+        lo, hi = m.span()
+        while at < len(taken) and taken[at][0] < hi:
+            start, _, end = taken[at]
+            if end > lo:
+                put(lo, min(start, hi))
+                lo = max(lo, end)
+                if lo >= hi:
+                    break  # the span may reach into the next run
+            at += 1
+        put(lo, hi)
     return out
 
 
@@ -81,8 +89,8 @@ def windows(text: str, lo: int, hi: int) -> list[str]:
 
 
 def encode(ws: list[str]) -> np.ndarray:
-    raw = np.array([[min(ord(c), 255) for c in w] for w in ws], np.int64).reshape(len(ws), 2 * SIDE + BODY)
-    return _CLASS[raw]
+    raw = np.frombuffer("".join(ws).encode("latin-1", "replace"), np.uint8)
+    return _CLASS[raw].reshape(len(ws), 2 * SIDE + BODY)
 
 
 class CharNet:
@@ -95,7 +103,7 @@ class CharNet:
         self.b = np.zeros(FILTERS)
         self.v = rng.normal(0, 0.2, 3 * FILTERS)
         self.c = 0.0
-        self.scale, self.shift, self.threshold = 1.0, 0.0, LEAST
+        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _conv(self, x):
         n = x.shape[1] - WIDE + 1
@@ -147,8 +155,11 @@ class CharNet:
         self.c = float(params[3][0])
         return self
 
-    def calibrate(self, x, y, recall: float = RECALL, least: float = LEAST):
-        """Logistic of the raw score, then the largest threshold that keeps ``recall`` of the findings."""
+    def calibrate(self, x, y, owner, recall: float = RECALL):
+        """Logistic of the raw score, then the largest threshold that keeps ``recall`` of the findings.
+
+        ``owner`` numbers the candidate of each window.
+        """
         r = self.raw(x)
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -156,12 +167,14 @@ class CharNet:
             a -= 0.05 * float(((p - y) * r).mean() + 0.01 * (a - 1))
             b -= 0.05 * float((p - y).mean())
         self.scale, self.shift = a, b
-        found = np.sort(self.score(x)[y == 1])
-        self.threshold = max(least, float(found[int((1 - recall) * len(found))])) if len(found) else least
+        best = np.zeros(int(owner.max()) + 1)
+        np.maximum.at(best, owner[y == 1], self.score(x)[y == 1])
+        found = np.sort(best[np.unique(owner[y == 1])])
+        self.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
         return self
 
 
-def labelled_findings(n: int = 1600, seed: int = 3) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = 3600, seed: int = 3) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): secrets in the usual formats, and long tokens that are none."""
     rng = np.random.default_rng(seed)
 
@@ -171,18 +184,22 @@ def labelled_findings(n: int = 1600, seed: int = 3) -> list[tuple[str, int, int,
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
     alnum, hexa = low + up + dig, "0123456789abcdef"
     word = lambda: "".join("bcdfghlmnprstv"[rng.integers(14)] + "aeiou"[rng.integers(5)] for _ in range(rng.integers(1, 5)))
+    part = "the and ing tion ion ent er en ung keit lich sch ein der die und que ment con por est los las ado ant for her ver ge be re un an in is or al ar es te de sh sch ch tz pf ck th ns ss zu ach ich auf aus wh ly ble ght str qu ll rr tt".split()
+    long_word = lambda: "".join(part[rng.integers(len(part))] if rng.random() < 0.7 else word()[:3] for _ in range(rng.integers(4, 8)))
     b64 = lambda k: base64.b64encode(rng.bytes(k)).decode()
     good = [
         lambda: of(hexa, 32, 64), lambda: of(hexa, 16, 40), lambda: "AKIA" + of(up + dig, 16, 16), lambda: b64(int(rng.integers(18, 48))),
         lambda: f"{of(low, 2, 3)}_{of(alnum, 28, 40)}", lambda: f"sk-{of(alnum, 24, 48)}", lambda: f"eyJ{of(alnum, 17, 30)}.eyJ{of(alnum, 30, 50)}.{of(alnum + '-_', 30, 43)}",
         lambda: of(alnum, 20, 40), lambda: f"xox{'bp'[rng.integers(2)]}-{of(dig, 10, 12)}-{of(alnum, 20, 24)}", lambda: of(alnum + "+/", 40, 40),
+        lambda: of(up, 20, 40), lambda: of(low, 24, 40), lambda: of(up + dig, 20, 36), lambda: of(low + dig, 20, 36),
     ]
     bad = [
         lambda: "_".join(word() for _ in range(rng.integers(2, 5))) + of(dig, 1, 2), lambda: word() + "".join(word().title() for _ in range(rng.integers(2, 4))),
         lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}T{rng.integers(24):02}", lambda: "/".join(word() for _ in range(rng.integers(2, 5))) + f"/{rng.integers(1, 99)}.html",
         lambda: f"{rng.integers(1, 20)}.{rng.integers(30)}.{rng.integers(99)}-{word()}.{word()}", lambda: f"www.{word()}{rng.integers(9)}.{word()}.com", lambda: of(dig, 12, 20),
         lambda: f"+{rng.integers(1, 99)}-{rng.integers(100, 999)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}", lambda: f"{word()}{word()}-{rng.integers(100)}.{word()}", lambda: f"{word()}.{word().title()}", lambda: "=" * 4 + of(dig, 1, 2) + "-" * 12,
-        lambda: f"{rng.integers(1000)}.{rng.integers(1000, 99999)}e-{rng.integers(10)}{word()}",
+        lambda: f"{rng.integers(1000)}.{rng.integers(1000, 99999)}e-{rng.integers(10)}{word()}", lambda: long_word(), lambda: long_word(), lambda: long_word().upper(), lambda: long_word().upper(), lambda: long_word().upper(), lambda: f"{long_word()}-{long_word()}", lambda: long_word().title() + ".",
+        lambda: "-=_."[rng.integers(4)] * int(rng.integers(12, 60)),
     ]
     lead = ["key: ", "secret = ", "Authorization: Bearer ", "aws_secret_access_key=", "client_secret '", "auth ", "pwd:", "private ", ""]
     out = []
@@ -193,7 +210,7 @@ def labelled_findings(n: int = 1600, seed: int = 3) -> list[tuple[str, int, int,
         if rng.random() < (0.5 if label else 0.08):
             before += lead[rng.integers(len(lead))]
         text = before + body + " " + " ".join(word() for _ in range(rng.integers(0, 6)))
-        if len(body) >= 12:
+        if len(body) >= SHORTEST:
             out.append((text, len(before), len(before) + len(body), label))
     return out
 
@@ -204,10 +221,10 @@ _model: list[CharNet] = []
 def trained() -> CharNet:
     """The network, trained once in this process; the same each time."""
     if not _model:
-        rows = [(w, label) for text, lo, hi, label in labelled_findings() for w in windows(text, lo, hi)[:1]]
-        x, y = encode([w for w, _ in rows]), np.array([label for _, label in rows], float)
-        cut = len(x) * 3 // 4
-        _model.append(CharNet().fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:]))
+        rows = [(w, label, k) for k, (text, lo, hi, label) in enumerate(labelled_findings()) for w in windows(text, lo, hi)]
+        x, y, owner = encode([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+        cut = int(np.searchsorted(owner, 3 * (owner[-1] + 1) // 4))
+        _model.append(CharNet().fit(x[:cut], y[:cut]).calibrate(x[cut:], y[cut:], owner[cut:]))
     return _model[0]
 
 
@@ -216,11 +233,10 @@ def scan(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]:
     found = [base_spans(t) for t in texts]
     owner, ws = [], []
     for i, t in enumerate(texts):
-        for lo, hi in candidates(t):
-            if not any(s < hi and lo < e for s, _, e in found[i]):
-                own = windows(t, lo, hi)
-                ws += own
-                owner += [(i, lo, hi)] * len(own)
+        for lo, hi in candidates(t, found[i]):
+            own = windows(t, lo, hi)
+            ws += own
+            owner += [(i, lo, hi)] * len(own)
     best: dict[tuple, float] = {}
     for at in range(0, len(ws), 512):
         for key, p in zip(owner[at : at + 512], net.score(encode(ws[at : at + 512]))):

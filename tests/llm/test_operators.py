@@ -511,3 +511,55 @@ def test_ids_of_every_character():
     rng = random.Random(3)
     pool = [chr(c) for c in (*range(0x250), *range(0x300, 0x530), *range(0x900, 0x980), 0x2028, 0x3000, 0x1F600, 0xFB01, 0x1E9E)] + list(" .,;:!?'sSİΣ") * 40
     same(["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(10_000)] + ["TÜRKİYE'DEKİ.", "BİRİ, İKİ.", "क़. ख़!"])
+
+
+def test_candidates_beside_base_spans():
+    """Runs that a base span cuts are scored on either side; letters alone are candidates too; brute force by characters."""
+    net, key = secrets.trained(), "ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6"
+    text = f"x9 abc/{'0123456789abcdef' * 2}/{key}"
+    assert [(k, text[s:e]) for s, k, e in secrets.scan([text], net)[0]] == [(2, "0123456789abcdef" * 2), (3, key)]
+    said = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t = "".join(rng.choice(list("aB3/-. =") + ["token=", "0a" * 12, "AKIA" + "Z9" * 9, "QWERTYUIOP"], rng.integers(0, 40)))
+        base = secrets.base_spans(t)
+        free = [c in said and not any(s <= i < e for s, _, e in base) for i, c in enumerate(t)] + [False]
+        want, lo = [], None
+        for i, f in enumerate(free):
+            if f and lo is None:
+                lo = i
+            elif lo is not None and not f:
+                own = t[lo:i].lstrip(".-_/+")
+                a = i - len(own)
+                own = own.rstrip(".-_/+")
+                if len(own) >= secrets.SHORTEST:
+                    want.append((a, a + len(own)))
+                lo = None
+        assert secrets.candidates(t, base) == want, t
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    net = secrets.trained()
+    text = "token=abcdefgh1 and words between them " * 250_000  # 10 MB, 250,000 base spans
+    began = time.perf_counter()
+    assert len(secrets.scan([text], net)[0]) == 250_000 and time.perf_counter() - began < 60
+
+
+def test_character_network_by_loops():
+    net, w = secrets.trained(), secrets.windows("see key: A1b2C3d4E5f6G7h8 end", 9, 25)
+    x = secrets.encode(w)[0]
+    body, side, total, n = np.full(secrets.FILTERS, 0.0), np.full(secrets.FILTERS, 0.0), np.zeros(secrets.FILTERS), 0
+    for at in range(len(x) - secrets.WIDE + 1):
+        mid = at + secrets.WIDE // 2
+        if not x[mid]:
+            continue
+        z = np.maximum(net.b + sum(net.w[k, x[at + k]] for k in range(secrets.WIDE)), 0)
+        if secrets.SIDE <= mid < secrets.SIDE + secrets.BODY:
+            body, total, n = np.maximum(body, z), total + z, n + 1
+        else:
+            side = np.maximum(side, z)
+    raw = np.concatenate([body, total / n, side]) @ net.v + net.c
+    assert net.score(secrets.encode(w))[0] == pytest.approx(1 / (1 + np.exp(-(net.scale * raw + net.shift))))
+    assert 0 < net.threshold < 1
