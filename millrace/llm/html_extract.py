@@ -10,15 +10,18 @@
    is template; others are slots. The seed gives nodes to count at and decides nothing.
 3. A page is aligned with its layout's seed. Dropped are: the own text of blocks that is template there
    or at their path (inside an article or main element at ``MAIN_SHARE``, and only if half of the
-   element's text stays: else its host's pages are near copies of each other), elements whose tag, role,
-   class or id says menu, header, footer, sidebar, notice, advert, form or comments.
+   element's text stays: else its host's pages are near copies of each other), elements whose tag says menu,
+   header, footer, sidebar, notice, advert or form, and boxes (``BOXES``, not headings, paragraphs or items)
+   whose class, id or role does.
 4. The outermost article and main elements are collected whole. Where a page has none, or they hold less
-   than half of what the body gives, the body is collected, less blocks outside them that are mostly links.
+   than half of what the body gives, the body is collected, less boxes outside them that are a menu: three
+   links or more, no paragraph or heading, and hardly a character outside the links.
 
 Character references are decoded, white space inside a block (a line break too) becomes one space,
 blocks are trimmed and joined in page order by one newline. Null and empty html, and pages without
 content, give the empty string; nothing is cut. Rows repeat as they come; a page without a host has
-no wrapper. Text in no block of its own counts as a block between its neighbours.
+no wrapper. Text in no block of its own counts as a block between its neighbours. Nothing recurses, so
+tags may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialise, read_table
 
-LEAST_PAGES, SHARE, MAIN_SHARE, SALTS, COUNTED = 3, 0.6, 0.9, 8, 100_000
+LEAST_PAGES, SHARE, MAIN_SHARE, SALTS, COUNTED, LINKS = 3, 0.6, 0.9, 64, 100_000, 3
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SWALLOWS = frozenset("script style noscript iframe textarea title".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object audio video textarea title select".split())
 GONE = frozenset("nav footer aside form menu dialog button fieldset head datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var td th".split())
@@ -46,17 +50,22 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # words in a class, id or role that say that an element is not content
 NOT_CONTENT = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar banner footer sidebar aside ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe signup login comment comments commentlist reply replies disqus discussion respond share sharing social related recommended widget pagination pager toolbar copyright complementary contentinfo search skip".split())
-HEADS = frozenset(("header",))
+# words after one of these that make no other thing of it
+PLAIN = frozenset("container wrapper wrap box boxes list bar block section area slot unit panel left right top bottom item items links link inner outer button buttons icons row column col main primary secondary site page mobile desktop".split())
+HEADS, OWN_HEADS = frozenset(("header",)), frozenset("article entry post content".split())
+BOXES = frozenset("div section ul ol dl table center nav menu".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 _CLASS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "main", "name")
+    __slots__ = ("tag", "parent", "items", "drop", "main", "name", "within", "chars", "linked", "links", "prose")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.items, self.drop, self.main, self.name = tag, parent, [], False, False, tag
+        self.within = parent is not None and (parent.within or parent.main)
 
 
 def _name(tag: str, rest: str) -> str:
@@ -65,27 +74,45 @@ def _name(tag: str, rest: str) -> str:
     return ".".join([tag, *sorted(w for w in words if not any(c.isdigit() for c in w))])
 
 
+def _names_no(token: str, in_main: bool) -> bool:
+    """Whether a word of a class, id or role says no: by all of its parts, by its last, or by its first before parts that say nothing."""
+    parts = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+    if not parts:
+        return False
+    if parts[-1] in HEADS:
+        return not in_main and not set(parts) & OWN_HEADS
+    return parts[-1] in NOT_CONTENT or (parts[0] in NOT_CONTENT and all(w in NOT_CONTENT or w in PLAIN for w in parts[1:]))
+
+
 def _says_no(tag: str, rest: str, in_main: bool) -> bool:
     if tag in GONE or (tag == "header" and not in_main):
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
-    words: set[str] = set()
     for m in _CLASS.finditer(rest):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
             return True
-        if key in ("class", "id", "role"):
-            words.update(_SPLIT.split(value.lower()))
-    return bool(words & NOT_CONTENT) or (bool(words & HEADS) and not in_main and not words & {"article", "entry", "post", "content"})
+        # a heading, a paragraph or an item is content whatever its name says; the wrapper may know better
+        if tag in BOXES and key in ("class", "id", "role") and any(_names_no(t, in_main) for t in value.split()):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
     """The tree of a page; ``drop`` marks what markup says is not content, ``main`` article and main."""
     root = Node("#root", None)
-    at, pos, n = root, 0, len(page)
+    at, pos, n, last = root, 0, len(page), page.rfind(">")
+    still: Counter = Counter()  # open elements by tag
+
+    def leave(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            still[at.tag] -= 1
+            at = at.parent
+
     while pos < n:
-        m = TAG.search(page, pos)
+        m = TAG.search(page, pos) if pos <= last else None
         if m is None:
             at.items.append(page[pos:])
             break
@@ -99,155 +126,274 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            top = at
+            top = at if still[name] else root
             while top is not root and top.tag != name and not (name in INLINE and top.tag not in INLINE):
                 top = top.parent
             if top is not root and top.tag == name:
-                at = top.parent
+                leave(top.parent)
             elif name == "p":
-                at.items.append("\n\n")
+                at.items.append(Node("hr", at))  # an empty paragraph
             continue
         if name in RAW and not m["rest"].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else n
+            if close or name in SWALLOWS:
+                pos = close.end() if close else n
             continue
         if name in CLOSE_P or name in CLOSES:
             shut, fence = CLOSES.get(name, ("", ()))
             shut = set(shut.split()) | ({"p"} if name in CLOSE_P else set())
-            top, last = at, None
-            while top is not root and top.tag not in fence and (top.tag in shut or top.tag in INLINE or top.tag == "p"):
+            left, top, found = sum(still[t] for t in shut), at, None
+            while left > 0 and top is not root and top.tag not in fence and (top.tag in shut or top.tag in INLINE or top.tag == "p"):
                 if top.tag in shut:
-                    last = top
+                    found, left = top, left - 1
                 top = top.parent
-            if last is not None:
-                at = last.parent
+            if found is not None:
+                leave(found.parent)
         node = Node(name, at)
         at.items.append(node)
         if name in VOID or m["rest"].endswith("/"):
             continue
         if m["rest"]:
             node.name = _name(name, m["rest"])
-        inside = at
-        while inside is not None and not inside.main:
-            inside = inside.parent
-        node.drop = _says_no(name, m["rest"], inside is not None)
+        node.drop = _says_no(name, m["rest"], node.within)
         node.main = not node.drop and name in ("article", "main")
         at = node
+        still[name] += 1
+    _weigh(root)
     return root
 
 
-# ---------------------------------------------------------------- skeletons and tree matching
-
+def _nodes(top: Node) -> list[Node]:
+    """``top`` and all below it, each before its own."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [x for x in node.items if not isinstance(x, str)]
+    return out
 
-def _own(node: Node) -> str:
-    """Text of a block that no block inside it holds."""
-    out = []
-    for x in node.items:
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag in INLINE:
-            out.append(_own(x))
-    return " ".join(out)
 
+def _weigh(root: Node) -> None:
+    """For every element: its characters, those in links, its links, and whether it holds a paragraph or a heading."""
+    for node in reversed(_nodes(root)):
+        node.chars = node.linked = node.links = 0
+        node.prose = node.tag in PROSE
+        for x in node.items:
+            if isinstance(x, str):
+                node.chars += len(x.strip())
+            else:
+                node.chars, node.linked, node.links, node.prose = node.chars + x.chars, node.linked + x.linked, node.links + x.links, node.prose or x.prose
+        if node.tag == "a":
+            node.linked, node.links = node.chars, 1
 
-def _blocks_in(node: Node) -> list[Node]:
-    out = []
-    for x in node.items:
-        if not isinstance(x, str) and x.tag not in VOID:
-            out += _blocks_in(x) if x.tag in INLINE else [x]
-    return out
 
+# ---------------------------------------------------------------- skeletons and tree matching
 
-def skeleton(node: Node, path: int = 0) -> list:
-    """[tag, shape, kids, texts (block, path, hash) of the blocks folded into the node]; drop marks have no text."""
-    path = zlib.crc32(f"{path}/{node.name}".encode("utf-8", "replace"))
-    if node.drop:
-        return [node.tag, zlib.crc32(node.tag.encode("utf-8", "replace")), [], []]
-    own = " ".join(_own(node).split())
-    kids: list[list] = []
-    for k in _blocks_in(node):
-        s = skeleton(k, path)
-        if kids and kids[-1][:2] == s[:2]:
-            _fold(kids[-1], s)
-        else:
-            kids.append(s)
-    shape = zlib.crc32(",".join([node.tag, *(str(k[1]) for k in kids)]).encode("utf-8", "replace"))
-    return [node.tag, shape, kids, [(node, path, zlib.crc32(own.encode("utf-8", "replace")) or 1)] if own else []]
 
+class Bone:
+    """A block, or neighbouring blocks of one shape: ``texts`` holds (block, path, hash) of each, kids are folded alike."""
 
-def _fold(a: list, b: list) -> None:
-    a[3] += b[3]
-    for p, q in zip(a[2], b[2]):
-        _fold(p, q)
+    __slots__ = ("tag", "name", "kids", "texts", "shape", "size", "number")
 
+    def __init__(self, tag: str, name: str = ""):
+        self.tag, self.name, self.kids, self.texts, self.shape, self.size, self.number = tag, name, [], [], b"", 1, 0
 
-def _plain(s: list) -> list:
-    return [s[0], sorted({(path, text) for _, path, text in s[3]}), [_plain(k) for k in s[2]]]
+    def seal(self) -> None:
+        """The shape and the number of nodes, once all kids are sealed."""
+        said = self.tag.encode("utf-8", "replace") + b"".join(k.shape for k in self.kids)
+        self.shape, self.size = hashlib.blake2b(said, digest_size=8).digest(), 1 + sum(k.size for k in self.kids)
 
 
-def _numbered(s: list, at: list[int]) -> list:
-    """A seed: [tag, number of the node, kids]."""
-    at[0] += 1
-    return [s[0], at[0], [_numbered(k, at) for k in s[2]]]
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def layout(root: Node) -> int:
+def skeleton(root: Node) -> Bone:
+    """The blocks of a page; text in inline elements is their block's, what markup drops has none."""
+    top = Bone(root.tag, root.name)
+    # (items left, block or inline element, its bone, path, own text); an inline element has its block's last three
+    stack = [(iter(root.items), root, top, _hash(f"0/{root.name}"), [])]
+    while stack:
+        items, node, bone, path, own = stack[-1]
+        for x in items:
+            if isinstance(x, str):
+                own.append(x)
+            elif x.tag in VOID:
+                continue
+            elif x.tag in INLINE:
+                if not x.drop:
+                    own.append(" ")
+                    stack.append((iter(x.items), x, bone, path, own))
+                    break
+            else:
+                kid = Bone(x.tag, x.name)
+                stack.append((iter(() if x.drop else x.items), x, kid, _hash(f"{path}/{x.name}"), []))
+                break
+        else:
+            stack.pop()
+            if node.tag in INLINE:
+                continue
+            text = " ".join(" ".join(own).split())
+            if text and not node.drop:
+                bone.texts.append((node, path, _hash(text) or 1))
+            bone.seal()
+            if stack:
+                into = stack[-1][2]
+                if into.kids and into.kids[-1].shape == bone.shape:
+                    _fold(into.kids[-1], bone)
+                else:
+                    into.kids.append(bone)
+    return top
+
+
+def _fold(a: Bone, b: Bone) -> None:
+    for p, q in _alike(a, b):
+        p.texts += q.texts
+
+
+def _alike(a: Bone, b: Bone):
+    """The pairs of nodes of two trees of one shape."""
+    stack = [(a, b)]
+    while stack:
+        p, q = stack.pop()
+        yield p, q
+        stack += zip(p.kids, q.kids)
+
+
+def _walk(top: Bone):
+    stack = [top]
+    while stack:
+        bone = stack.pop()
+        yield bone
+        stack += bone.kids
+
+
+def packed_bones(top: Bone) -> str:
+    """A skeleton as JSON: for each node, parents first, its tag, number of kids, paths and hashes of its texts."""
+    out, stack = [], [top]
+    while stack:
+        bone = stack.pop()
+        out.append([bone.tag, len(bone.kids), sorted({(path, text) for _, path, text in bone.texts})])
+        stack += reversed(bone.kids)
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unpacked_bones(said: str) -> Bone:
+    """The skeleton again; its texts have no block. Nodes are numbered in order."""
+    made, open_ = [], []
+    for number, (tag, kids, texts) in enumerate(json.loads(said)):
+        bone = Bone(tag)
+        bone.number, bone.texts = number + 1, [(None, path, text) for path, text in texts]
+        if open_:
+            open_[-1][0].kids.append(bone)
+            open_[-1][1] -= 1
+        made.append(bone)
+        open_.append([bone, kids])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    for bone in reversed(made):
+        bone.seal()
+    return made[0]
+
+
+def layout(top: Bone) -> int:
     """Names the elements of the outermost fork of a page."""
-    at = root
+    at = top
     while True:
-        kids = [k for k in _blocks_in(at) if k.tag != "head"]
-        if len(kids) != 1 or not _blocks_in(kids[0]):
+        kids = [k for k in at.kids if k.tag != "head"]
+        if len(kids) != 1 or not kids[0].kids:
             break
         at = kids[0]
     names = [k.name for k in kids]
-    return zlib.crc32("|".join([at.name, *(n for i, n in enumerate(names) if not i or n != names[i - 1])]).encode("utf-8", "replace"))
-
-
-def tree_match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: the size of the largest order-preserving match, and its pairs."""
-    if a[0] != b[0]:
+    return _hash("|".join([at.name, *(n for i, n in enumerate(names) if not i or n != names[i - 1])]))
+
+
+def _ends(x: list[Bone], y: list[Bone]) -> tuple[int, int]:
+    """How many first and last kids are alike in shape: to match those with each other is always best."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head].shape == y[head].shape:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail].shape == y[-1 - tail].shape:
+        tail += 1
+    return head, tail
+
+
+def _table(x: list[Bone], y: list[Bone], size: dict) -> list[list[int]]:
+    best = [[0] * (len(y) + 1)]
+    for p in x:
+        above, row = best[-1], [0]
+        for j, q in enumerate(y):
+            row.append(max(above[j + 1], row[j], above[j] + size.get((p, q), 0)))
+        best.append(row)
+    return best
+
+
+def tree_match(a: Bone, b: Bone) -> tuple[int, list[tuple[Bone, Bone]]]:
+    """Simple tree matching: the size of the largest order-preserving match, and its pairs.
+
+    Trees of one shape match whole, and so do the first and last kids that are alike; only the kids between
+    are aligned by dynamic programming.
+    """
+    size: dict[tuple[Bone, Bone], int] = {}
+    stack, rows = [(a, b, False)], {}
+    while stack:
+        p, q, ready = stack.pop()
+        if ready:
+            x, y, ends = rows[p, q][:3]
+            best = _table(x, y, size)
+            rows[p, q] = x, y, ends, best
+            size[p, q] = 1 + ends + best[-1][-1]
+        elif (p, q) not in size:
+            if p.tag != q.tag or p.shape == q.shape:
+                size[p, q] = p.size if p.tag == q.tag else 0
+                continue
+            head, tail = _ends(p.kids, q.kids)
+            x, y = p.kids[head : len(p.kids) - tail], q.kids[head : len(q.kids) - tail]
+            rows[p, q] = x, y, sum(k.size for k in p.kids[:head]) + sum(k.size for k in p.kids[len(p.kids) - tail :]), None
+            size[p, q] = 0
+            stack.append((p, q, True))
+            stack += [(k, h, False) for k in x for h in y if k.tag == h.tag]
+    if not size[a, b]:
         return 0, []
-    x, y = a[2], b[2]
-    if not x or not y:
-        return 1, [(a, b)]
-    w = [[tree_match(p, q) for q in y] for p in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j][0])
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += w[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-    return 1 + best[-1][-1], pairs
-
-
-def _walk(s: list):
-    yield s
-    for k in s[2]:
-        yield from _walk(k)
+    pairs, todo = [], [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        if p.shape == q.shape:
+            pairs += _alike(p, q)
+            continue
+        pairs.append((p, q))
+        head, tail = _ends(p.kids, q.kids)
+        todo += [*zip(p.kids[:head], q.kids[:head]), *zip(p.kids[len(p.kids) - tail :], q.kids[len(q.kids) - tail :])]
+        x, y, _, best = rows[p, q]
+        i, j = len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                todo.append((x[i - 1], y[j - 1]))
+                i, j = i - 1, j - 1
+    return size[a, b], pairs
 
 
-def count_page(bone: list, seed: list | None, met: Counter, host: str, lay: int) -> None:
+def count_page(bone: Bone, seed: Bone | None, met: Counter, host: str, lay: int) -> None:
     """Count the texts (0: any or none) of a page at the paths of its host and at the nodes of its layout's seed."""
-    at = {(0, path, text) for s in _walk(bone) for path, text in s[1]}
+    at = {(0, path, text) for s in _walk(bone) for _, path, text in s.texts}
     at |= {(0, path, 0) for _, path, _ in at}
     for p, q in tree_match(bone, seed)[1] if seed else ():
-        at |= {(1, q[1], 0)} | {(1, q[1], text) for _, text in p[1]}
+        at.add((1, q.number, 0))
+        at.update((1, q.number, text) for _, _, text in p.texts)
     for kind, node, text in at:
         met[host, lay if kind else 0, kind, node, text] += 1
 
 
-def template_blocks(root: Node, seed: list | None, of_layout: dict, of_host: dict) -> tuple[set[int], set[int]]:
+def template_blocks(bone: Bone, seed: Bone | None, of_layout: dict, of_host: dict) -> tuple[set[int], set[int]]:
     """Blocks of a page whose own text is template, and those where it is at ``MAIN_SHARE``."""
-    bone, often, always = skeleton(root), set(), set()
-    found = [(n, of_host.get((path, text))) for s in _walk(bone) for n, path, text in s[3]]
-    found += [(n, of_layout.get((q[1], text))) for p, q in (tree_match(bone, seed)[1] if seed else ()) for n, _, text in p[3]]
+    often, always = set(), set()
+    found = [(n, of_host.get((path, text))) for s in _walk(bone) for n, path, text in s.texts]
+    found += [(n, of_layout.get((q.number, text))) for p, q in (tree_match(bone, seed)[1] if seed else ()) for n, _, text in p.texts]
     for n, share in found:
         if share is not None:
             often.add(id(n))
@@ -259,50 +405,47 @@ def template_blocks(root: Node, seed: list | None, of_layout: dict, of_host: dic
 # ---------------------------------------------------------------- extraction
 
 
-def _link_share(node: Node) -> tuple[int, int]:
-    """Characters in links, and all."""
-    inside = total = 0
-    for x in node.items:
-        if isinstance(x, str):
-            total += len(x.strip())
-        else:
-            a, b = _link_share(x)
-            inside, total = inside + (b if x.tag == "a" else a), total + b
-    return inside, total
-
-
-def _collect(node: Node, skip: set[int], out: list[list[str]], weigh: bool, mute: bool = False) -> None:
-    for x in node.items:
-        if isinstance(x, str):
-            if not mute:
-                out[-1].append(x)
-        elif x.drop:
-            out.append([])
-        elif x.tag in VOID:
-            if x.tag == "hr":
-                out.append([])
-            else:
-                out[-1].append(" ")
-        elif x.tag in INLINE:
-            if x.tag in ("td", "th"):
-                out[-1].append(" ")
-            _collect(x, skip, out, weigh, mute)
-        else:
-            if weigh and x.tag in ("ul", "ol", "div", "p", "section", "table"):
-                links, total = _link_share(x)
-                if links and links > 0.6 * total:
+def _collect(top: Node, skip: set[int], out: list[list[str]], weigh: bool) -> None:
+    """Add the blocks of ``top`` to ``out``, each a list of the texts in it."""
+    stack = [(iter(top.items), weigh, id(top) in skip, False)]
+    while stack:
+        items, weigh, mute, block = stack[-1]
+        for x in items:
+            if isinstance(x, str):
+                if not mute:
+                    out[-1].append(_html.unescape(x))
+            elif x.tag in INLINE and not x.drop:
+                if x.tag in ("td", "th"):
+                    out[-1].append(" ")
+                stack.append((iter(x.items), weigh, mute, False))
+                break
+            elif x.tag in VOID:
+                if x.tag == "hr":
                     out.append([])
+                else:
+                    out[-1].append(" ")
+            elif x.tag not in INLINE:
+                out.append([])
+                # outside articles, a list or box of nothing but links is a menu
+                if x.drop or (weigh and x.tag in BOXES and x.links >= LINKS and not x.prose and x.linked > 0.8 * x.chars):
                     continue
-            out.append([])
-            _collect(x, skip, out, weigh and not x.main, id(x) in skip)
-            out.append([])
+                stack.append((iter(x.items), weigh and not x.main, id(x) in skip, True))
+                break
+        else:
+            stack.pop()
+            if block:
+                out.append([])
 
 
-def _mains(node: Node) -> list[Node]:
-    out = []
-    for x in node.items:
-        if not isinstance(x, str) and not x.drop:
-            out += [x] if x.main else _mains(x)
+def _mains(root: Node) -> list[Node]:
+    """The outermost article and main elements, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.main:
+            out.append(node)
+        elif not node.drop:
+            stack += [x for x in reversed(node.items) if not isinstance(x, str)]
     return out
 
 
@@ -314,7 +457,7 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
     mains = _mains(root)
     skip: set[int] = set()
     if wrapper is not None:
-        often, always = template_blocks(root, *wrapper)
+        often, always = template_blocks(skeleton(root), *wrapper)
         inside = {id(x) for top in mains for x in _nodes(top)}
         skip = often - inside
         if 2 * _size(_texts(mains, always, False)) >= _size(_texts(mains, set(), False)):
@@ -323,20 +466,13 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
     return "\n".join(marked if mains and 2 * _size(marked) >= _size(body) else body)
 
 
-def _nodes(node: Node):
-    yield node
-    for x in node.items:
-        if not isinstance(x, str):
-            yield from _nodes(x)
-
-
 def _texts(tops: list[Node], skip: set[int], weigh: bool) -> list[str]:
     """The blocks of text in ``tops``."""
     out: list[list[str]] = [[]]
     for top in tops:
-        _collect(top, skip, out, weigh, id(top) in skip)
+        _collect(top, skip, out, weigh)
         out.append([])
-    blocks = (" ".join(_html.unescape("".join(b)).split()) for b in out)
+    blocks = (" ".join("".join(b).split()) for b in out)
     return [b for b in blocks if b]
 
 
@@ -351,21 +487,36 @@ def _host(url):
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _dealt(df: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with ``_salt``, that spreads the rows of the few keys in ``hot`` over ``SALTS`` parts."""
+    salt = F.pmod(F.xxhash64("_spread"), F.lit(SALTS)).cast("int")
+    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot", "_spread")
+
+
+def _copied(df: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` once for each part that ``_dealt`` makes of its key."""
+    n = F.when(F.col("_hot"), SALTS - 1).otherwise(0)
+    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n))).drop("_hot")
+
+
+def _hot(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """Keys of ``sizes(*by, n)`` that have a ``SALTS``-th part of all rows or more: at most ``SALTS`` of them."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.groupBy(*by).agg(F.sum("n").alias("n")).where(f"n * {SALTS} >= {total}").select(*by, F.lit(True).alias("_hot"))
 
 
-def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (host, lay, seed, of_layout) and (host, of_host): seeds as JSON, and texts that are template."""
+def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (host, lay, seed, of_layout) and (host, of_host): seeds as JSON, and texts that are template; and
+    rows (host, lay, n), the sizes of all layouts."""
 
     def bones(batches):
         for batch in batches:
             host, lay, mark, bone = [], [], [], []
             for h, page in zip(*(c.to_pylist() for c in batch.columns)):
-                root = parse(page or "")
-                s = json.dumps(_plain(skeleton(root)), separators=(",", ":"))
+                top = skeleton(parse(page or ""))
+                s = packed_bones(top)
                 host.append(h)
-                lay.append(layout(root))
+                lay.append(layout(top))
                 mark.append(int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 bone.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(lay, pa.int64()), pa.array(mark, pa.int64()), pa.array(bone, pa.string())], ["host", "lay", "mark", "bone"])
@@ -377,36 +528,38 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def count(batches):
         met: Counter = Counter()
-        known: dict[str, list] = {}
+        known: dict[str, Bone] = {}
         for batch in batches:
             for host, lay, bone, seed in zip(*(c.to_pylist() for c in batch.columns)):
-                count_page(json.loads(bone), _seed(seed, known), met, host, lay)
-            if len(met) > COUNTED:
-                yield emit(met)
+                count_page(unpacked_bones(bone), _seed(seed, known), met, host, lay)
+                if len(met) > COUNTED:
+                    yield emit(met)
         yield emit(met)
 
     own = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
     bare = own.transform(map_arrow, bones, "host string, lay long, mark long, bone string")
-    bare = materialise(bare.groupBy("host", "lay", "mark").agg(F.first("bone").alias("bone")), "bones")
-    seeds = bare.groupBy("host", "lay").agg(F.min("mark").alias("mark"), F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}").drop("n")
+    bare = materialise(bare.groupBy("host", "lay", "mark").agg(F.first("bone").alias("bone"), F.count("*").alias("n")), "bones")
+    sizes = materialise(bare.groupBy("host", "lay").agg(F.min("mark").alias("mark"), F.count("*").alias("kinds"), F.sum("n").alias("n")), "sizes")
+    hot = _hot(sizes.withColumn("n", F.col("kinds")), ["host", "lay"])
+    seeds = sizes.where(f"kinds >= {LEAST_PAGES}").select("host", "lay", "mark")
     seeds = materialise(bare.join(seeds, ["host", "lay", "mark"]).select("host", "lay", F.col("bone").alias("seed")), "seeds")
-    dealt = bare.withColumn("_salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")).join(_salted(seeds), ["host", "lay", "_salt"], "left")
+    dealt = _dealt(bare.select("host", "lay", "bone", F.col("mark").alias("_spread")), hot, ["host", "lay"]).join(_copied(seeds, hot, ["host", "lay"]), ["host", "lay", "_salt"], "left")
     met = dealt.select("host", "lay", "bone", "seed").transform(map_arrow, count, "host string, lay long, kind long, node long, text long, n long")
     at = ["host", "lay", "kind", "node"]
     met = materialise(met.groupBy(*at, "text").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}"), "met")
     constant = met.where("text <> 0").join(met.where("text = 0").select(*at, F.col("n").alias("pages")), at).where(f"n >= {SHARE} * pages")
     constant = constant.groupBy("host", "lay", "kind").agg(F.collect_list(F.array("node", "text", F.expr(f"CAST(n >= {MAIN_SHARE} * pages AS BIGINT)"))).alias("texts"))
     of_layout = seeds.join(constant.where("kind = 1").select("host", "lay", F.col("texts").alias("of_layout")), ["host", "lay"])
-    return materialise(of_layout, "of_layout"), materialise(constant.where("kind = 0").select("host", F.col("texts").alias("of_host")), "of_host")
+    return materialise(of_layout, "of_layout"), materialise(constant.where("kind = 0").select("host", F.col("texts").alias("of_host")), "of_host"), sizes
 
 
-def _seed(seed: str | None, known: dict[str, list]) -> list | None:
+def _seed(seed: str | None, known: dict[str, Bone]) -> Bone | None:
     if seed is None:
         return None
     if seed not in known:
         if len(known) > 5000:
             known.clear()
-        known[seed] = _numbered(json.loads(seed), [0])
+        known[seed] = unpacked_bones(seed)
     return known[seed]
 
 
@@ -415,11 +568,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def lay(batches):
         for batch in batches:
-            got = [layout(parse(page)) if page else 0 for page in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], ["page_id", "url", "html", "host", "_salt", "lay"])
+            got = [layout(skeleton(parse(page))) if page else 0 for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], ["page_id", "url", "html", "host", "_spread", "lay"])
 
     def go(batches):
-        known: dict[str, list] = {}
+        known: dict[str, Bone] = {}
         for batch in batches:
             text = []
             for page, seed, of_layout, of_host in zip(*(c.to_pylist() for c in batch.columns[2:])):
@@ -427,10 +580,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 text.append(main_text(page, wrapper))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    of_layout, of_host = wrappers(pages)
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(SALTS)).cast("int").alias("_salt"))
-    rows = rows.transform(map_arrow, lay, "page_id long, url string, html string, host string, _salt int, lay long")
-    rows = rows.join(_salted(of_layout), ["host", "lay", "_salt"], "left").join(_salted(of_host), ["host", "_salt"], "left")
+    of_layout, of_host, sizes = wrappers(pages)
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("page_id", "html", F.lit(5)).alias("_spread"))
+    rows = rows.transform(map_arrow, lay, "page_id long, url string, html string, host string, _spread long, lay long")
+    hot = materialise(_hot(sizes, ["host"]), "hot")
+    rows = _dealt(rows, hot, ["host"]).join(_copied(of_layout, hot, ["host"]), ["host", "lay", "_salt"], "left").join(_copied(of_host, hot, ["host"]), ["host", "_salt"], "left")
     return rows.select("page_id", "url", "html", "seed", "of_layout", "of_host").transform(map_arrow, go, "page_id long, url string, text string, n_chars long")
 
 

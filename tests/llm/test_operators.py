@@ -473,11 +473,66 @@ def test_content_outside_the_innermost_article():
     assert html_extract.main_text("<div>before</div><article><p>A story that is longer than the rest</p></article><div>after</div>") == "A story that is longer than the rest"
 
 
+def tree(said):
+    """A tree from (tag, kids...)."""
+    bone = html_extract.Bone(said[0])
+    bone.kids = [tree(k) for k in said[1:]]
+    bone.seal()
+    return bone
+
+
+def brute_match(a, b):
+    """Simple tree matching by its recursive definition, without any shortcut."""
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, p in enumerate(a.kids):
+        for j, q in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(p, q))
+    return 1 + best[-1][-1]
+
+
 def test_tree_match_is_largest():
-    a = ["r", 0, [["p", 1, []], ["d", 0, [["p", 2, []], ["p", 3, []]]], ["u", 0, []]]]
-    b = ["r", 0, [["d", 0, [["p", 2, []]]], ["x", 0, []], ["u", 0, []]]]
+    a, b = tree(("r", ("p",), ("d", ("p",), ("b", ("i",))), ("u",))), tree(("r", ("d", ("p",)), ("x",), ("u",)))
     n, pairs = html_extract.tree_match(a, b)
-    assert n == 4 and len(pairs) == 4 and html_extract.tree_match(a, ["q", 0, []])[0] == 0
+    assert n == 4 and len(pairs) == 4 and html_extract.tree_match(a, tree(("q",)))[0] == 0
+    rng = np.random.default_rng(8)
+
+    def grow(depth):
+        return ("abc"[rng.integers(3)], *(grow(depth - 1) for _ in range(rng.integers(0, 4) if depth else 0)))
+
+    for _ in range(300):
+        a, b = tree(("r", *(grow(2) for _ in range(4)))), tree(("r", *(grow(2) for _ in range(4))))
+        n, pairs = html_extract.tree_match(a, b)
+        assert n == brute_match(a, b) == len(pairs) and all(p.tag == q.tag for p, q in pairs)
+        assert len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == n
+
+
+def test_bones_round_trip():
+    top = html_extract.skeleton(html_extract.parse(SITE.format(3)))
+    said = html_extract.packed_bones(top)
+    again = html_extract.unpacked_bones(said)
+    assert html_extract.packed_bones(again) == said and again.shape == top.shape and again.size == top.size
+
+
+def test_deep_and_wide_pages(spark):
+    """Ten thousand nested and unclosed tags, and a page of a megabyte."""
+    n = 10_000
+    pages = ["<div>" * n + "deep text" + "</div>" * n, "<b>" * n + "bold text", "<p>start" + "<i><div>" * n + "end", "<ul>" + "<li>item" * n, "<table>" + "<tr><td>a<td>b" * n, "</p>" * n + "after", "<a " * n, "<p>word</p><b>" * n, "<em>" * n + "<p>x" * 500 + "</i>" * n]
+    for k, want in enumerate(["deep text", "bold text", "start\nend", "\n".join(["item"] * n), "\n".join(["a b"] * n), "after"]):
+        assert html_extract.main_text(pages[k]) == want
+    site = [(i, f"http://deep.example.org/{i}", pages[i % len(pages)]) for i in range(2 * len(pages))]
+    site += [(100 + i, f"http://deep.example.org/{i}", f"{'<div>' * 3000}tale {i}<p>end {i}") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(spark.createDataFrame(site, "page_id BIGINT, url STRING, html STRING")))}
+    assert len(got) == len(site) and got[0] == "deep text" and got[102] == "tale 2\nend 2"
+
+
+def test_names_drop_boxes_only():
+    """A class, id or role takes a box, not a heading or a paragraph, and not by a word that is part of another name."""
+    page = '<div id="notice-of-meeting"><h2 id="comments">Comments on the law</h2><p class="alert">Mind this</p></div><div class="social-history">A tale of towns</div><p>Some <a href="/x">very long link text of a paragraph</a> ok</p><ul class="main-menu"><li>m</ul><div id="comments">c</div><div class="ad-slot-3">a</div><section class="site-footer">f</section><div class="sidebar left">s</div><span hidden>h</span>'
+    assert html_extract.main_text(page) == "Comments on the law\nMind this\nA tale of towns\nSome very long link text of a paragraph ok"
+    links = "".join(f'<li><a href="/{i}">Place {i}</a>' for i in range(5))
+    assert html_extract.main_text(f"<ul>{links}</ul><p>Tale</p><ul><li>one<li>two</ul>") == "Tale\none\ntwo"
 
 
 def test_masked_words():
