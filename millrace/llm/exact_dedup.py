@@ -1,11 +1,15 @@
-"""Exact duplicates by a tree of hash aggregations over digest runs.
+"""Exact duplicates by a tree-merge of sorted digest runs.
 
-Each document gives (digest, id); ids deal documents into ``RUNS`` runs. A run holds every digest
-once, with its count and its extreme id. Rounds then merge ``FAN_IN`` neighbouring runs at a time
-(run number divided by ``FAN_IN``) until one logical run is left; it stays spread over the cluster by
-digest. A digest that a third of all rows share is one row per run after the first, map-side
-combined, round. Runs are not sorted: a round is a hash aggregation. The last level joins the first
-directly, at most ``RUNS`` rows of a digest, and these join the documents by digest and run. A digest is SHA-256 with the length and an independent 64-bit hash as a check.
+Each document gives (digest, id); ids deal documents into ``RUNS`` runs. A run is sorted by digest and
+holds every digest once, with its count and its extreme identifier. The runs are merged in binomial rounds,
+two levels of the tree at a time: runs whose numbers agree but for their last two bits exchange, and a
+merge of up to ``FAN_IN`` sorted runs leaves one, until one logical run is left, spread over the cluster by
+digest. A task sorts what it holds and aggregates it as a stream before the exchange and after it (no table
+of digests is held), so a digest that a third of all rows share is one row per task after the first sort.
+
+A digest is SHA-256, verified at every level by the length and an independent 64-bit hash: identifiers are
+merged only where all three agree. The answers go back to the first level, at most ``RUNS`` rows of a
+digest, and these join the documents by digest and run, so a digest's rows are spread by run.
 
 Null text counts as empty. Of rows that also share the id, all count and one is kept.
 """
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, read_table
 
-RUNS, FAN_IN = 64, 8
+RUNS, FAN_IN = 64, 4
 _KEY = ["_sha", "_len", "_xx"]
 
 
@@ -35,14 +39,16 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def merged(digests: DataFrame, keep: str = "largest") -> tuple[DataFrame, DataFrame]:
-    """First-level runs, and the single run that the merge rounds leave."""
+    """First-level runs, and the single run that the rounds of merges leave: (run, digest, identifier, count)."""
     pick = F.max if keep == "largest" else F.min
-    first = digests.groupBy(*_KEY, "_run").agg(pick("doc_id").alias("_keep"), F.count("*").alias("_n"))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id"))
+    # the extreme of a struct is aggregated in sorted order: sort, stream, exchange, sort, stream
+    first = digests.groupBy("_run", *_KEY).agg(pick(own).alias("_best"), F.count("*").alias("_n"))
     run, level = RUNS, first
     while run > 1:
         run = -(-run // FAN_IN)
-        level = level.groupBy(*_KEY, F.floor(F.col("_run") / FAN_IN).cast("int").alias("_run")).agg(pick("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-    return first, level
+        level = level.groupBy(F.floor(F.col("_run") / FAN_IN).cast("int").alias("_run"), *_KEY).agg(pick("_best").alias("_best"), F.sum("_n").alias("_n"))
+    return first, level.select(*_KEY, F.col("_best.doc_id").alias("_keep"), "_n")
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
