@@ -78,6 +78,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_keys(sizes: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """Keys of ``sizes(*by, n)`` that have a ``parts``-th of all rows or more: at most ``parts`` of them, so they may be broadcast."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.groupBy(*by).agg(F.sum("n").alias("n")).where(f"n * {parts} >= {total}").select(*by, F.lit(True).alias("_hot"))
+
+
+def dealt(df: DataFrame, hot: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """``df`` with ``_salt`` in place of the hash ``_spread``; it deals the rows of the hot keys over ``parts``."""
+    salt = F.pmod(F.col("_spread"), F.lit(parts)).cast("int")
+    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot", "_spread")
+
+
+def copied(df: DataFrame, hot: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """``df`` once for each part that ``dealt`` makes of its key."""
+    last = F.when(F.col("_hot"), parts - 1).otherwise(0)
+    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges(a, b)``: rows ``(v, root)``.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, materialise, read_table
+from millrace.llm.common import copied, dealt, hot_keys, map_arrow, materialise, read_table
 
 LEAST_PAGES, SHARE, MAIN_SHARE, SALTS, COUNTED, LINKS = 3, 0.6, 0.9, 64, 100_000, 3
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
@@ -487,24 +487,6 @@ def _host(url):
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
 
 
-def _dealt(df: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with ``_salt``, that spreads the rows of the few keys in ``hot`` over ``SALTS`` parts."""
-    salt = F.pmod(F.xxhash64("_spread"), F.lit(SALTS)).cast("int")
-    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot", "_spread")
-
-
-def _copied(df: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` once for each part that ``_dealt`` makes of its key."""
-    n = F.when(F.col("_hot"), SALTS - 1).otherwise(0)
-    return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n))).drop("_hot")
-
-
-def _hot(sizes: DataFrame, by: list[str]) -> DataFrame:
-    """Keys of ``sizes(*by, n)`` that have a ``SALTS``-th part of all rows or more: at most ``SALTS`` of them."""
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    return sizes.groupBy(*by).agg(F.sum("n").alias("n")).where(f"n * {SALTS} >= {total}").select(*by, F.lit(True).alias("_hot"))
-
-
 def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (host, lay, seed, of_layout) and (host, of_host): seeds as JSON, and texts that are template; and
     rows (host, lay, n), the sizes of all layouts."""
@@ -540,11 +522,12 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     bare = own.transform(map_arrow, bones, "host string, lay long, mark long, bone string")
     bare = materialise(bare.groupBy("host", "lay", "mark").agg(F.first("bone").alias("bone"), F.count("*").alias("n")), "bones")
     sizes = materialise(bare.groupBy("host", "lay").agg(F.min("mark").alias("mark"), F.count("*").alias("kinds"), F.sum("n").alias("n")), "sizes")
-    hot = _hot(sizes.withColumn("n", F.col("kinds")), ["host", "lay"])
+    by = ["host", "lay"]
+    hot = hot_keys(sizes.withColumn("n", F.col("kinds")), by, SALTS)
     seeds = sizes.where(f"kinds >= {LEAST_PAGES}").select("host", "lay", "mark")
     seeds = materialise(bare.join(seeds, ["host", "lay", "mark"]).select("host", "lay", F.col("bone").alias("seed")), "seeds")
-    dealt = _dealt(bare.select("host", "lay", "bone", F.col("mark").alias("_spread")), hot, ["host", "lay"]).join(_copied(seeds, hot, ["host", "lay"]), ["host", "lay", "_salt"], "left")
-    met = dealt.select("host", "lay", "bone", "seed").transform(map_arrow, count, "host string, lay long, kind long, node long, text long, n long")
+    each = dealt(bare.select("host", "lay", "bone", F.col("mark").alias("_spread")), hot, by, SALTS).join(copied(seeds, hot, by, SALTS), [*by, "_salt"], "left")
+    met = each.select("host", "lay", "bone", "seed").transform(map_arrow, count, "host string, lay long, kind long, node long, text long, n long")
     at = ["host", "lay", "kind", "node"]
     met = materialise(met.groupBy(*at, "text").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}"), "met")
     constant = met.where("text <> 0").join(met.where("text = 0").select(*at, F.col("n").alias("pages")), at).where(f"n >= {SHARE} * pages")
@@ -583,8 +566,8 @@ def extract(pages: DataFrame) -> DataFrame:
     of_layout, of_host, sizes = wrappers(pages)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("page_id", "html", F.lit(5)).alias("_spread"))
     rows = rows.transform(map_arrow, lay, "page_id long, url string, html string, host string, _spread long, lay long")
-    hot = materialise(_hot(sizes, ["host"]), "hot")
-    rows = _dealt(rows, hot, ["host"]).join(_copied(of_layout, hot, ["host"]), ["host", "lay", "_salt"], "left").join(_copied(of_host, hot, ["host"]), ["host", "_salt"], "left")
+    hot = materialise(hot_keys(sizes, ["host"], SALTS), "hot")
+    rows = dealt(rows, hot, ["host"], SALTS).join(copied(of_layout, hot, ["host"], SALTS), ["host", "lay", "_salt"], "left").join(copied(of_host, hot, ["host"], SALTS), ["host", "_salt"], "left")
     return rows.select("page_id", "url", "html", "seed", "of_layout", "of_host").transform(map_arrow, go, "page_id long, url string, text string, n_chars long")
 
 

@@ -7,7 +7,10 @@
   classifier's probability) is summed over all documents by host (the source) and by path below it
   (the language), map-side first. A path's posterior shrinks to its host's and a host's to the global
   prior; the strengths of both priors come from the data by the method of moments.
-* The result is the document's evidence on the odds of its path's posterior instead of the global one.
+* The result is the document's evidence on the odds of its path's posterior instead of the global one. The
+  document itself is taken out of both sums first, so that it doesn't count twice; the only one of a site
+  gets what its site shrinks to.
+* A site that has a ``PARTS``-th of all documents or more (at most ``PARTS`` such) is joined in parts.
 
 Null text counts as empty. Null source and null language are a host and a path of their own. Rows
 with the same id and text agree. Without labels of both kinds the evidence is nil.
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, materialise, read_table
+from millrace.llm.common import copied, dealt, hot_keys, map_arrow, materialise, read_table
 
-SAMPLE, SITES, EVIDENCE = 20_000, 64, 6.0
+SAMPLE, PARTS, EVIDENCE = 20_000, 64, 6.0
 WORD = re.compile(r"\w+")
 _PUNCT = re.compile(r"[^\w\s]")
 
@@ -134,30 +137,42 @@ def _strength(sites: DataFrame, mean: str) -> F.Column:
     return F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.sum(F.col("n") * m * (1 - m)) / F.sum("n") / F.greatest(spread, F.lit(1e-9))))
 
 
-def posteriors(found: DataFrame, prior: float) -> DataFrame:
-    """Rows (host, path, host_posterior, path_posterior) of ``found(_host, _path, p)``."""
+def sites(found: DataFrame, prior: float) -> tuple[DataFrame, float, float]:
+    """Rows (_host, _path, n, s, host_n, host_s) of ``found(_host, _path, p)``: documents and their expected
+    labels at a path and at its host; and the strengths of the priors of hosts and of paths."""
     paths = materialise(found.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.round(F.sum("p"), 6).alias("s")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(prior))
     a = hosts.agg(_strength(hosts, "m").alias("a")).first()["a"] or 1.0
-    hosts = hosts.select("_host", ((F.col("s") + a * F.col("m")) / (F.col("n") + a)).alias("host_posterior"))
-    both = paths.join(hosts, "_host")
-    b = both.agg(_strength(both, "host_posterior").alias("b")).first()["b"] or 1.0
-    return both.select("_host", "_path", "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior"))
+    both = paths.join(hosts.select("_host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "_host")
+    m = (F.col("host_s") + a * prior) / (F.col("host_n") + a)
+    b = both.select("n", "s", m.alias("m")).transform(lambda df: df.agg(_strength(df, "m").alias("b"))).first()["b"] or 1.0
+    return both, a, b
+
+
+def shrunken(prior: float, a: float, b: float) -> tuple[F.Column, F.Column]:
+    """Posterior of a document's host and path from the other documents there, over columns of ``sites`` and ``p``."""
+    host = (F.col("host_s") - F.col("p") + a * prior) / (F.col("host_n") - 1 + a)
+    path = (F.col("s") - F.col("p") + b * host) / (F.col("n") - 1 + b)
+    inside = lambda x: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), x))
+    return inside(host), inside(path)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows (doc_id, evidence, host_posterior, path_posterior, quality, kept), one for each row of ``docs``."""
+    """Rows (doc_id, held_out, evidence, host_posterior, path_posterior, quality, kept), one for each row of ``docs``."""
     model = train(docs, labels)
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
     found = materialise(evidence(docs, model), "evidence")
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_l")).agg(F.max(F.col("quality").cast("double")).alias("y"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SITES)).cast("int")
-    found = found.select("doc_id", "evidence", key(F.col("source")).alias("_host"), key(F.col("lang")).alias("_path"), part.alias("_part"))
-    rows = found.join(known, F.col("doc_id") == F.col("_l"), "left")
+    found = found.select("doc_id", "evidence", key(F.col("source")).alias("_host"), key(F.col("lang")).alias("_path"), F.xxhash64("doc_id", "evidence", F.lit(9)).alias("_spread"))
+    rows = found.join(known, F.col("doc_id") == F.col("_l"), "left").drop("_l")
     rows = rows.withColumn("p", F.coalesce("y", 1 / (1 + F.exp(-(F.col("evidence") + model.base)))))
-    prior = 1 / (1 + math.exp(-model.base))
-    site = materialise(posteriors(rows, prior), "sites").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SITES - 1))))
-    got = found.join(site, ["_host", "_path", "_part"])
+    prior, by = 1 / (1 + math.exp(-model.base)), ["_host", "_path"]
+    site, a, b = sites(rows, prior)
+    site = materialise(site, "sites")
+    hot = materialise(hot_keys(site.select(*by, "n"), by, PARTS), "hot")
+    got = dealt(rows, hot, by, PARTS).join(copied(site, hot, by, PARTS), [*by, "_salt"])
+    host, path = shrunken(prior, a, b)
+    got = got.withColumns({"host_posterior": host, "path_posterior": path})
     z = F.col("evidence") + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
     got = got.withColumn("quality", 1 / (1 + F.exp(-z)))
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_posterior", "path_posterior", "quality", (F.col("quality") >= least).alias("kept"))
