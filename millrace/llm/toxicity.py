@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, materialise, read_table
 
-SAMPLE, MOST_ENTRIES = 20_000, 5_000
+SAMPLE = 20_000
 FUZZY_FROM, QUOTED, NEAR = 5, 0.85, 6
 WORD = re.compile(r"\w+")
 # characters put for letters, and what a word that has some goes on with
 _MASK, _REST = re.compile(r"[0-9*@$!]"), re.compile(r"[\w*@$!]*")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _OPEN, _CLOSE = "\"“„«‹‘'”", "\"”“»›’'"
+_WITHIN = re.compile(r"(?<=\w)['’](?=\w)")
 # words that report or mention what others say
 _MENTION = frozenset("said says say called calls calling quote quoted quotes word words term wrote writes mean means meaning spelled dit disait mot appelle sagte sagt wort nannte genannt dijo dice palabra llamó".split())
 _WORDS_KEPT = 150_000
@@ -159,6 +160,8 @@ def quotation(text: str, spans: list[tuple[int, int]], k: int) -> float:
     s, e = spans[k]
     lo, hi = spans[max(0, k - NEAR)][0], spans[min(len(spans) - 1, k + NEAR)][1]
     before, after = text[lo:s].rpartition("\n")[2], text[e : hi + 2].partition("\n")[0]
+    # an apostrophe between letters is no quotation mark
+    before, after = _WITHIN.sub("", before), _WITHIN.sub("", after)
     score = 0.0
     if any(q in before for q in _OPEN) and any(q in after for q in _CLOSE):
         score += 0.6
@@ -250,8 +253,8 @@ def _strong(stats: DataFrame, share: float) -> DataFrame:
 
 
 def learn_entries(words: DataFrame, share: float) -> list[tuple[str, bool]]:
-    """Lexicon entries from the word counts of the sample."""
-    top = lambda df: df.orderBy(F.desc("llr"), "w").limit(MOST_ENTRIES).collect()
+    """Lexicon entries from the word counts of the sample, which bounds them."""
+    top = lambda df: df.collect()
     strong = {r["w"]: r["tn"] for r in top(_strong(words, share)) if len(r["w"]) >= 3}
     begin = words.where("length(w) > 3").select("*", F.explode(F.sequence(F.lit(3), F.least(F.lit(9), F.length("w") - 1))).alias("k"))
     begin = begin.groupBy(F.expr("substring(w, 1, k)").alias("w")).agg(F.bit_or("cm").alias("cm"), F.bit_or("tm").alias("tm"), F.sum("cn").alias("cn"), F.sum("tn").alias("tn"), F.count("*").alias("kinds"), F.max("tn").alias("most"))

@@ -81,6 +81,14 @@ def test_drop_copies(docs, clash, none):
     assert exact_dedup.drop_copies(none).count() == 0
 
 
+def test_runs_are_merged_in_sorted_order(docs):
+    """Every round sorts and aggregates as a stream; no level holds a table of digests."""
+    first, last = exact_dedup.merged(exact_dedup.with_digest(docs.select("doc_id", "text")))
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 8 and "HashAggregate" not in plan
+    assert first.count() >= last.count() == len({(t or "").lower() for _, t, *_ in ROWS})
+
+
 def test_drop_copies_of_equal_ids(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "A", "y"), (1, "a", "x")], "doc_id BIGINT, text STRING, source STRING")
     assert exact_dedup.drop_copies(df).count() == 1
@@ -372,7 +380,7 @@ def test_automaton_against_edit_distance():
 def test_quotation_counts_less():
     model = toxicity.Model([("idiot", False)], {(0, 0): 6.0, (0, 1): 4.0}, {}, 1.0, -3.0)
     plain, said = model.score("you are an idiot and more"), model.score('he said the word "idiot" was used there')
-    assert plain > 0.5 > said and model.score("idi0t idiiot") > 0.5 and model.score("") == pytest.approx(1 / (1 + np.exp(3)))
+    assert plain > 0.5 > said and model.score("don't be, you're an idiot, I don't care") > 0.5 and model.score("she was called an 'idiot' by word of mouth") < 0.5 and model.score("idi0t idiiot") > 0.5 and model.score("") == pytest.approx(1 / (1 + np.exp(3)))
 
 
 def test_toxicity_accuracy(spark):
@@ -396,9 +404,45 @@ def test_quality(spark, docs, clash, none, labels):
     assert sum(r["kept"] == bool(r["quality"]) for r in held) >= 0.95 * len(held)
 
 
+def test_sites_against_brute_force(spark, docs, labels):
+    """Sums by host and path without the document itself, both shrunken, from the evidence on."""
+    import math
+
+    model = quality.train(docs, labels)
+    found = [(i, s, lang, float(model.evidence([quality.measures(t or "")])[0])) for i, t, lang, s, _ in ROWS]
+    known = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    prior = 1 / (1 + math.exp(-model.base))
+    p = [float(known[i]) if i in known else 1 / (1 + math.exp(-(e + model.base))) for i, _, _, e in found]
+
+    def strength(groups):  # (n, s, mean of the parent)
+        between, within, n = sum(n * (s / n - m) ** 2 for n, s, m in groups), sum(m * (1 - m) for _, _, m in groups), sum(n for n, _, _ in groups)
+        return min(1e6, max(1.0, sum(n * m * (1 - m) for n, _, m in groups) / n / max((between - within) / n, 1e-9)))
+
+    def group(key):
+        out = {}
+        for k, x in enumerate(found):
+            out.setdefault(key(x), []).append(p[k])
+        return out
+
+    hosts, paths = group(lambda x: x[1]), group(lambda x: x[1:3])
+    a = strength([(len(v), sum(v), prior) for v in hosts.values()])
+    b = strength([(len(v), sum(v), (sum(hosts[h]) + a * prior) / (len(hosts[h]) + a)) for (h, _), v in paths.items()])
+    want = []
+    for k, (i, s, lang, e) in enumerate(found):
+        host = (sum(hosts[s]) - p[k] + a * prior) / (len(hosts[s]) - 1 + a)
+        path = (sum(paths[s, lang]) - p[k] + b * host) / (len(paths[s, lang]) - 1 + b)
+        host, path = (min(1 - 1e-6, max(1e-6, x)) for x in (host, path))
+        want.append((i or -1, 1 / (1 + math.exp(-(e + math.log(path / (1 - path))))), host, path))
+    got = sorted((r["doc_id"] or -1, r["quality"], r["host_posterior"], r["path_posterior"]) for r in quality.classify(docs, labels).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g == pytest.approx(w, abs=1e-4)
+
+
 def test_sparse_sites_shrink(spark):
-    found = spark.createDataFrame([("big", "x", 0.9)] * 500 + [("bad", "x", 0.1)] * 500 + [("tiny", "x", 0.0)], "_host STRING, _path STRING, p DOUBLE")
-    got = {r["_host"]: r["path_posterior"] for r in quality.posteriors(found, 0.5).collect()}
+    found = spark.createDataFrame([("big", "x", 0.9)] * 500 + [("bad", "x", 0.1)] * 500 + [("tiny", "x", 0.0)] * 2, "_host STRING, _path STRING, p DOUBLE")
+    site, a, b = quality.sites(found, 0.5)
+    host, path = quality.shrunken(0.5, a, b)
+    got = {r["_host"]: r["path"] for r in site.join(found.distinct(), ["_host", "_path"]).select("_host", path.alias("path")).collect()}
     assert got["big"] > 0.85 and got["bad"] < 0.15 and 0.1 < got["tiny"] < 0.5
 
 
