@@ -6,7 +6,7 @@ clock. One call applies one batch of commands, of which each names a job at most
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
@@ -88,7 +88,7 @@ def ack(jobs: DataFrame, now: int, keep_done: str = "keep_done_ms") -> DataFrame
     return jobs.withColumns({"status": F.when(kept, "Done"), "completed_at": F.when(kept, F.lit(now)), "history": F.when(kept, "Completed"), "done_delta": F.lit(1).cast("bigint")})
 
 
-def nack(jobs: DataFrame, now: int, error: str, base: str = "base_ms", most: str = "max_ms") -> DataFrame:
+def nack(jobs: DataFrame, now: int, error: str | Column, base: str = "base_ms", most: str = "max_ms") -> DataFrame:
     """Claimed rows that fail: Dead from the last attempt on, else Pending or, with a backoff, Scheduled."""
     dead, wait = F.col("attempts") >= F.col("max_attempts"), S.backoff_delay("attempts", F.col(base), F.col(most))
     return jobs.withColumns({
@@ -98,7 +98,7 @@ def nack(jobs: DataFrame, now: int, error: str, base: str = "base_ms", most: str
     })
 
 
-def dead_letter(jobs: DataFrame, now: int, reason: str) -> DataFrame:
+def dead_letter(jobs: DataFrame, now: int, reason: str | Column) -> DataFrame:
     """Claimed rows that fail for good, whatever their attempts; the claim time is cleared."""
     return jobs.withColumns({"status": F.lit("Dead"), "claimed_at": _null("bigint"), "failed_at": F.lit(now), "last_error": F.lit(reason), "history": F.lit("DeadLettered")})
 
