@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import running, stream_fold
+
+
+SEQ_BUCKET = 4096
+
 
 def fold(cmds: DataFrame) -> DataFrame:
     """``cmds(key, seq, op, expected, value)``, applied in order for each key.
 
     ``op``: put, delete, cas (put if the value equals ``expected``, NULL: absent) or cad (delete if it
-    does). A put or a delete needs no earlier state, so each begins a segment of its key; only the
-    conditional commands up to the next one are folded one after the other, inside the JVM. A hot key's
-    segments are spread over the cluster, and an array holds one segment. Rows (key, value, applied, refused).
+    does). A put or a delete needs no earlier state, so each begins a segment of its key; segments are numbered by
+    running sums over buckets of ``seq`` and spread over the cluster, and the rows of one pass in order, one by one.
+    Rows (key, value, applied, refused).
     """
-    order = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = cmds.withColumn("seg", F.sum(F.col("op").isin("put", "delete").cast("bigint")).over(order))
-    cs = F.array_sort(F.collect_list(F.struct("seq", "op", "expected", "value")))
-    start = F.expr("named_struct('value', CAST(NULL AS STRING), 'applied', 0L, 'refused', 0L)")
-
-    def step(acc, c):
-        same = acc["value"].eqNullSafe(c["expected"])
-        ok = c["op"].isin("put", "delete") | same
-        new = F.when(~ok, acc["value"]).when(c["op"].isin("put", "cas"), c["value"])
-        return F.struct(new.alias("value"), (acc["applied"] + ok.cast("bigint")).alias("applied"), (acc["refused"] + (~ok).cast("bigint")).alias("refused"))
-
-    done = parts.groupBy("key", "seg").agg(F.aggregate(cs, start, step).alias("s"))
-    last = F.max(F.struct("seg", F.col("s.value").alias("value")))["value"]
-    return done.groupBy("key").agg(last.alias("value"), F.sum("s.applied").alias("applied"), F.sum("s.refused").alias("refused"))
+    rows = cmds.select("key", "seq", "op", "expected", "value")
+    parts = running(rows, ["key"], F.expr(f"seq div {SEQ_BUCKET}"), ["seq"], F.col("op").isin("put", "delete").cast("bigint"), "seg")
+
+    def apply(rows):
+        value, applied, refused = None, 0, 0
+        for key, seg, _, op, expected, new in rows:
+            if op in ("put", "delete") or value == expected:
+                value, applied = new if op in ("put", "cas") else None, applied + 1
+            else:
+                refused += 1
+        yield key, seg, value, applied, refused
+
+    done = stream_fold(parts.select("key", "seg", "seq", "op", "expected", "value"), ["key", "seg"], ["seq"], apply, "key STRING, seg BIGINT, value STRING, applied BIGINT, refused BIGINT")
+    last = F.max(F.struct("seg", "value"))["value"]
+    return done.groupBy("key").agg(last.alias("value"), F.sum("applied").alias("applied"), F.sum("refused").alias("refused"))
 
 
 def conflicts(ops: DataFrame) -> DataFrame:

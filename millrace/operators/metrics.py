@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import running
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int], bucket: int = 256) -> DataFrame:
     """``n`` and, for each p, the value at place ``min(n * p div 100, n - 1)`` (from 0) in ascending order.
 
-    Equal values are counted before anything is ordered, so a group is ordered by its different
-    values alone.
+    Equal values are counted before anything is ordered, and counts of ranges of ``bucket`` values are added up before
+    values inside a range, so a group's different values are spread over as many tasks as they fill ranges.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow) if by else Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*by)
-    c = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("n", F.sum("_c").over(total))
+    c = running(counts.withColumn("_all", F.lit(0)), [*by, "_all"], F.floor(F.col(value) / bucket), [value], F.col("_c"), "_to")
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("n")) if by else counts.agg(F.sum("_c").alias("n"))
+    for k in by:
+        total = total.withColumnRenamed(k, f"_t_{k}")
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    c = c.join(total, on)  # without groups one row
     at = [F.expr(f"min(CASE WHEN _to > least(n * {p} div 100, n - 1) THEN `{value}` END)").alias(f"p{p}") for p in percents]
     return c.groupBy(*by).agg(F.max("n").cast("bigint").alias("n"), *at)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
+from millrace.operators.ordered import neighbour
 
 
 def running_total(df: DataFrame, by: str, bucket: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -70,15 +71,15 @@ def running_depth(changes: DataFrame, bucket_ms: int = 21_600_000) -> DataFrame:
 
 def heartbeat_gaps(beats: DataFrame) -> DataFrame:
     """Time between beats, whole intervals missed, and beats of a writer that another replaced."""
-    w = Window.orderBy("counter")
-    gap = F.col("at_ms") - F.lag("at_ms").over(w)
+    rows = neighbour(beats.withColumn("_all", F.lit(0)), ["_all"], F.expr("counter div 4096"), ["counter"], F.col("at_ms"), "_last")
     top = beats.agg(F.max("epoch").alias("_top"))
-    return beats.withColumn("gap_ms", gap).crossJoin(F.broadcast(top)).select("counter", "gap_ms", F.expr("gap_ms div interval_ms AS missed"), (F.col("epoch") < F.col("_top")).alias("superseded"))
+    return rows.withColumn("gap_ms", F.col("at_ms") - F.col("_last")).crossJoin(F.broadcast(top)).select("counter", "gap_ms", F.expr("gap_ms div interval_ms AS missed"), (F.col("epoch") < F.col("_top")).alias("superseded"))
 
 
 def seq_advance(polls: DataFrame) -> DataFrame:
     """Liveness without a clock: whether the durable sequence moved since the poll before; the first poll counts as alive."""
-    return polls.withColumn("alive", F.coalesce(F.col("durable_seq") > F.lag("durable_seq").over(Window.orderBy("poll")), F.lit(True)))
+    rows = neighbour(polls.withColumn("_all", F.lit(0)), ["_all"], F.expr("poll div 4096"), ["poll"], F.col("durable_seq"), "_last")
+    return rows.withColumn("alive", F.coalesce(F.col("durable_seq") > F.col("_last"), F.lit(True))).drop("_all", "_last")
 
 
 def rate_schedule(schedules: DataFrame) -> DataFrame:

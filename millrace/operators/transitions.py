@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
+from millrace.operators.ordered import running, stream_fold
 from millrace.schemas import QueueConfig
 
 DEFAULT = QueueConfig()
@@ -22,28 +23,30 @@ def prepared(cmds: DataFrame, now_col: str = "now") -> DataFrame:
     return cmds.withColumn("status", F.when(late, "Scheduled").otherwise("Pending")).withColumn("run_at", F.when(late, F.col("run_at")))
 
 
-def fold_dedup(cmds: DataFrame) -> DataFrame:
+def fold_dedup(cmds: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     """Outcome of enqueues with a dedup key, in order, while each accepted job holds its key until its claim.
 
     ``cmds(id, queue, dedup_key, enqueued_at, claimed_at)``: acceptance depends on earlier acceptance. A
     command that comes after every earlier one of its key is claimed is new whatever went before, so it
-    begins a segment; only the commands of a segment are folded in order, inside the JVM, and a hot key's
-    segments are spread. Without a key a command is always new.
+    begins a segment. Those are found by running maxima and sums over buckets of time, so a hot key's segments
+    are spread, and the commands of one pass in order, one by one. Without a key a command is always new.
     """
-    until = F.coalesce("claimed_at", F.lit((1 << 62))).alias("until")
-    order = Window.partitionBy("queue", "dedup_key").orderBy("enqueued_at", "id")
+    until = F.coalesce("claimed_at", F.lit(1 << 62)).alias("until")
     rows = cmds.where("dedup_key IS NOT NULL").select("queue", "dedup_key", "id", "enqueued_at", until)
-    free = F.col("enqueued_at") >= F.coalesce(F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(1 << 62)))
-    rows = rows.withColumn("_free", free.cast("bigint")).withColumn("seg", F.sum("_free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    keyed = rows.groupBy("queue", "dedup_key", "seg").agg(F.array_sort(F.collect_list(F.struct("enqueued_at", "id", "until"))).alias("cs"))
-    start = F.expr("named_struct('held_by', CAST(NULL AS STRING), 'until', CAST(-1 AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<id: STRING, outcome: STRING, existing: STRING>>))")
-
-    def step(acc, x):
-        hit = x["enqueued_at"] < acc["until"]
-        out = F.struct(x["id"].alias("id"), F.when(hit, "AlreadyEnqueued").otherwise("New").alias("outcome"), F.when(hit, acc["held_by"]).alias("existing"))
-        return F.struct(F.when(hit, acc["held_by"]).otherwise(x["id"]).alias("held_by"), F.when(hit, acc["until"]).otherwise(x["until"]).alias("until"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-    done = keyed.select("queue", "dedup_key", F.explode(F.aggregate("cs", start, step)["out"]).alias("o")).select("queue", "dedup_key", "o.*")
+    by, at, order = ["queue", "dedup_key"], F.expr(f"enqueued_at div {bucket_ms}"), ["enqueued_at", "id"]
+    rows = running(rows, by, at, order, F.col("until"), "held", "max", own=False)
+    rows = running(rows, by, at, order, (F.col("enqueued_at") >= F.coalesce("held", F.lit(-(1 << 62)))).cast("bigint"), "seg")
+
+    def accept(rows):
+        holder, until = None, None
+        for queue, key, _, at, job, end in rows:
+            if until is not None and at < until:
+                yield queue, key, job, "AlreadyEnqueued", holder
+            else:
+                holder, until = job, end
+                yield queue, key, job, "New", None
+
+    done = stream_fold(rows.select(*by, "seg", "enqueued_at", "id", "until"), [*by, "seg"], order, accept, "queue STRING, dedup_key STRING, id STRING, outcome STRING, existing STRING")
     free = cmds.where("dedup_key IS NULL").select("queue", "dedup_key", "id", F.lit("New").alias("outcome"), _null("string").alias("existing"))
     return done.unionByName(free)
 
@@ -143,6 +146,7 @@ def expired(jobs: DataFrame, now: int) -> DataFrame:
 
 
 def after_sweep(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of jobs, or of what belongs to jobs, without those of jobs that a sweep deletes."""
     return jobs.join(gone.select("id"), "id", "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
+from millrace.operators.ordered import neighbour, running
 
 
 def decide(steps: DataFrame) -> DataFrame:
@@ -41,30 +42,67 @@ def termination(decided: DataFrame, now: int, retain: bool = True) -> DataFrame:
     return d.select("run_id", "status", F.explode(F.array(*parts)).alias("e")).select("run_id", "status", "e.*")
 
 
-def match_signals(waiters: DataFrame, signals: DataFrame, timeout: int) -> DataFrame:
+def _waits_and_signals(waiters: DataFrame, signals: DataFrame) -> DataFrame:
+    """Waiters (``_w`` 1) and signals (0) in one table; a signal carries itself in ``_s``."""
+    none = F.lit(None).cast("struct<at_ms: bigint, id: string>")
+    return waiters.select("key", "at_ms", "id", F.lit(1).alias("_w"), none.alias("_s")).unionByName(signals.select("key", "at_ms", "id", F.lit(0).alias("_w"), F.struct(F.col("at_ms").cast("bigint").alias("at_ms"), "id").alias("_s")))
+
+
+def _time_bucket(width: int):
+    return F.expr(f"at_ms div {max(1, width)}")
+
+
+def match_signals(waiters: DataFrame, signals: DataFrame, timeout: int, bucket_ms: int = 600_000) -> DataFrame:
     """The earliest signal of the same key from a waiter's start to its timeout, both ends included.
 
-    Times fall into buckets as wide as the timeout, so a waiter meets two buckets of its key and the
-    join is an equality on (key, bucket).
+    An as-of pass over buckets of time: a waiter looks at its own bucket and at the first signal of the next bucket
+    that has one, so no waiter meets more than one signal and a hot key is spread over its buckets.
     """
-    w = waiters.withColumn("_b", F.explode(F.array(F.expr(f"at_ms div {timeout}"), F.expr(f"at_ms div {timeout} + 1"))))
-    s = signals.select("key", F.col("at_ms").alias("signal_at"), F.col("id").alias("signal_id"), F.expr(f"at_ms div {timeout}").alias("_b"))
-    hit = w.join(s, ["key", "_b"]).where((F.col("signal_at") >= F.col("at_ms")) & (F.col("signal_at") <= F.col("at_ms") + timeout))
-    best = hit.groupBy("id").agg(F.min(F.struct("signal_at", "signal_id")).alias("m"))
-    return waiters.join(best, "id", "left").select(*waiters.columns, F.col("m.signal_id").alias("signal_id"), F.col("m.signal_at").alias("signal_at"))
+    both = _waits_and_signals(waiters, signals)
+    near = neighbour(both, ["key"], _time_bucket(bucket_ms), ["at_ms", F.desc("_w"), "id"], F.col("_s"), "_next", back=False).where("_w = 1")
+    hit = F.col("_next.at_ms") <= F.col("at_ms") + timeout
+    found = near.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("at_ms").alias("_at"), F.when(hit, F.col("_next.id")).alias("signal_id"), F.when(hit, F.col("_next.at_ms")).alias("signal_at")).distinct()
+    return waiters.join(found, (F.col("id") == F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("at_ms") == F.col("_at")), "left").drop("_id", "_key", "_at")
 
 
-def buffered_signal(waiters: DataFrame, signals: DataFrame) -> DataFrame:
-    """As of each waiter's start, the last signal of its key before it."""
-    both = waiters.select("key", "at_ms", "id", F.lit(1).alias("_w"), F.lit(None).cast("string").alias("_s")).unionByName(signals.select("key", "at_ms", "id", F.lit(0).alias("_w"), F.col("id").alias("_s")))
-    w = Window.partitionBy("key").orderBy("at_ms", F.desc("_w"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("buffered", F.last("_s", ignorenulls=True).over(w)).where("_w = 1").select("id", "key", "at_ms", "buffered")
+def buffered_signal(waiters: DataFrame, signals: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
+    """As of each waiter's start, the last signal of its key before it; spread as ``match_signals`` is."""
+    both = _waits_and_signals(waiters, signals)
+    near = neighbour(both, ["key"], _time_bucket(bucket_ms), ["at_ms", F.desc("_w"), "id"], F.col("_s"), "_last").where("_w = 1")
+    return near.select("id", "key", "at_ms", F.col("_last.id").alias("buffered"))
 
 
-def signal_conflicts(waiters: DataFrame, timeout: int) -> DataFrame:
+def signal_conflicts(waiters: DataFrame, timeout: int, bucket_ms: int = 600_000) -> DataFrame:
     """Waiters that start while an earlier waiter of the key still waits; the latest earlier one decides."""
-    w = Window.partitionBy("key").orderBy("at_ms", "id")
-    return waiters.withColumn("earlier", F.lag(F.struct("at_ms", "id")).over(w)).where(F.col("at_ms") < F.col("earlier.at_ms") + timeout).select("id", "key", F.col("earlier.id").alias("conflicts_with"))
+    near = neighbour(waiters.select("id", "key", "at_ms"), ["key"], _time_bucket(bucket_ms), ["at_ms", "id"], F.struct("at_ms", "id"), "earlier")
+    return near.where(F.col("at_ms") < F.col("earlier.at_ms") + timeout).select("id", "key", F.col("earlier.id").alias("conflicts_with"))
+
+
+def lease_overlaps(leases: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """``leases(queue, id, attempt, claimed_at, recorded_at)`` with ``overlaps``: how many other leases of the queue were held at the same time.
+
+    That is the leases that began before this one ended, less those that ended by its beginning and itself: two
+    running sums over the ends in order, and no pair is made.
+    """
+    own = ["queue", "id", "attempt"]
+    ends = leases.select(*own, F.col("claimed_at").alias("at_ms"), F.lit(1).alias("begin")).unionByName(leases.select(*own, F.col("recorded_at").alias("at_ms"), F.lit(0).alias("begin")))
+    order = ["at_ms", "begin", "id", "attempt"]  # at one moment, what ends comes first
+    rows = running(ends, ["queue"], _time_bucket(bucket_ms), order, F.col("begin").cast("bigint"), "_began")
+    rows = running(rows, ["queue"], _time_bucket(bucket_ms), order, (1 - F.col("begin")).cast("bigint"), "_ended")
+    return rows.groupBy(*own).agg((F.max(F.when(F.col("begin") == 0, F.col("_began"))) - F.max(F.when(F.col("begin") == 1, F.col("_ended"))) - 1).alias("overlaps"))
+
+
+def run_status(runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``runs(run_id, cancel)`` that go on, over ``jobs(run_id, status)``: Cancelling, Running where a step is claimed, else Pending."""
+    claimed = jobs.where("status = 'Claimed'").select("run_id", F.lit(True).alias("_held")).distinct()
+    return runs.join(claimed, "run_id", "left").select("run_id", F.when(F.col("cancel"), "Cancelling").when(F.col("_held"), "Running").otherwise("Pending").alias("status"))
+
+
+def run_cancel(cmds: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``cmds(run_id)`` over runs that go on: requested while a step is claimed, removed while it waits, else not accepted."""
+    live = jobs.where("status IN ('Pending', 'Scheduled', 'Claimed')").groupBy("run_id").agg(F.max(F.col("status") == "Claimed").alias("_held"))
+    known = runs.select("run_id").join(live, "run_id", "left").withColumn("how", F.when(F.coalesce("_held", F.lit(True)), "requested").otherwise("removed"))
+    return cmds.join(known.select("run_id", "how"), "run_id", "left").select("run_id", F.col("how").isNotNull().alias("accepted"), "how")
 
 
 def submit_outcome(cmds: DataFrame, durable: DataFrame) -> DataFrame:

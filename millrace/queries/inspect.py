@@ -153,10 +153,10 @@ _BEATS = "beats AS (SELECT row_number() OVER (ORDER BY event_id) AS counter, enq
 
 def beats(spark, sf):
     """Heartbeats: the error events; the writer changes every ten days."""
-    from pyspark.sql import Window
+    from millrace.operators.ordered import running
 
-    j = X.jobs(spark, sf).where("queue = 'error'")
-    return j.select(F.row_number().over(Window.orderBy("event_id")).cast("bigint").alias("counter"), F.col("enqueued_at").alias("at_ms"), F.lit(3_600_000).cast("bigint").alias("interval_ms"), F.expr("(enqueued_at - 1704067200000) div 864000000 AS epoch"))
+    j = running(X.jobs(spark, sf).where("queue = 'error'"), ["queue"], F.expr("event_id div 4096"), ["event_id"], F.lit(1).cast("bigint"), "counter")
+    return j.select("counter", F.col("enqueued_at").alias("at_ms"), F.lit(3_600_000).cast("bigint").alias("interval_ms"), F.expr("(enqueued_at - 1704067200000) div 864000000 AS epoch"))
 
 
 @query("heartbeat_latest", f"WITH {X.JOBS}, {_BEATS} SELECT counter, at_ms, interval_ms, epoch FROM beats ORDER BY counter DESC LIMIT 1")

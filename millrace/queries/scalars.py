@@ -187,4 +187,4 @@ def _(spark, sf):
 
 @query("cron_next", f"WITH {_CRON.format(a=NOW + 60_000, b=NOW + 40 * 86_400_000)} SELECT name, min(fire_at) AS next_fire FROM f GROUP BY name")
 def _(spark, sf):
-    return C.next_firing(spark, SCHEDULES, NOW, 40)
+    return C.next_firing(spark, SCHEDULES, NOW)

@@ -18,11 +18,11 @@ def configured(spark, sf):
     return I.effective_config(X.state(spark, sf), X.config(spark))
 
 
-_CMD = "cmds AS (SELECT 'new-' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS id, queue, CAST(user_id AS VARCHAR) AS dedup_key, priority, CASE WHEN k % 5 = 0 THEN {n} + k * 1000 - 20000 END AS run_at, {n}::BIGINT AS now, k FROM jobs WHERE event_id % 9 = 0)".format(n=NOW)
+_CMD = "cmds AS (SELECT 'new-' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS id, queue, CAST(user_id AS VARCHAR) AS dedup_key, priority, CASE WHEN k % 5 = 0 THEN {n} + k * 1000 - 20000 END AS run_at, {n}::BIGINT AS now, k FROM jobs)".format(n=NOW)
 
 
 def _cmds(spark, sf):
-    j = X.jobs(spark, sf).where("event_id % 9 = 0")
+    j = X.jobs(spark, sf)
     return j.select(F.concat(F.lit("new-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("id"), "queue", F.expr("CAST(user_id AS STRING) AS dedup_key"), "priority", F.expr(f"CASE WHEN k % 5 = 0 THEN {NOW} + k * 1000 - 20000 END AS run_at"), F.lit(NOW).alias("now"), "k")
 
 
@@ -45,12 +45,12 @@ def _(spark, sf):
     return new.select(F.concat(F.lit("app/jobs/"), F.col("id")).alias("key"), F.col("queue").alias("value"))
 
 
-@query("enqueue_batch", f"WITH {X.JOBS} SELECT queue, lpad(CAST(row_number() OVER (PARTITION BY queue ORDER BY event_id) - 1 AS VARCHAR), 26, '0') AS id, 'Pending' AS status, {NOW}::BIGINT AS enqueued_at, doc_id FROM jobs WHERE k < 5")
+@query("enqueue_batch", f"WITH {X.JOBS} SELECT queue, lpad(CAST(row_number() OVER (PARTITION BY queue ORDER BY event_id) - 1 AS VARCHAR), 26, '0') AS id, 'Pending' AS status, {NOW}::BIGINT AS enqueued_at, doc_id FROM jobs")
 def _(spark, sf):
-    from pyspark.sql import Window
+    from millrace.operators.ordered import running
 
-    at = F.row_number().over(Window.partitionBy("queue").orderBy("event_id")) - 1
-    return X.jobs(spark, sf).where("k < 5").select("queue", F.lpad(at.cast("string"), 26, "0").alias("id"), F.lit("Pending").alias("status"), F.lit(NOW).alias("enqueued_at"), "doc_id")
+    at = running(X.jobs(spark, sf), ["queue"], F.expr("event_id div 4096"), ["event_id"], F.lit(1).cast("bigint"), "at")
+    return at.select("queue", F.lpad((F.col("at") - 1).cast("string"), 26, "0").alias("id"), F.lit("Pending").alias("status"), F.lit(NOW).alias("enqueued_at"), "doc_id")
 
 
 @query("dedup_outcome", f"""WITH RECURSIVE {X.ATTEMPTS},
@@ -65,18 +65,18 @@ def _(spark, sf):
     return Z.fold_dedup(cmds).select("id", "outcome", "existing")
 
 
-@query("duplicate_id_rejects", f"WITH {X.STATE}, c AS (SELECT CASE WHEN k % 2 = 0 THEN id ELSE 'fresh-' || event_id END AS id, queue FROM jobs WHERE k > 80) SELECT c.id, c.queue, CASE WHEN s.id IS NOT NULL THEN 'DuplicateJobId' ELSE 'New' END AS outcome FROM c LEFT JOIN state s ON c.id = s.id")
+@query("duplicate_id_rejects", f"WITH {X.STATE}, c AS (SELECT CASE WHEN k % 2 = 0 THEN id ELSE 'fresh-' || event_id END AS id, queue FROM jobs) SELECT c.id, c.queue, CASE WHEN s.id IS NOT NULL THEN 'DuplicateJobId' ELSE 'New' END AS outcome FROM c LEFT JOIN state s ON c.id = s.id")
 def _(spark, sf):
-    c = X.jobs(spark, sf).where("k > 80").select(F.expr("CASE WHEN k % 2 = 0 THEN id ELSE 'fresh-' || event_id END AS id"), "queue", F.lit(None).cast("string").alias("dedup_key"))
+    c = X.jobs(spark, sf).select(F.expr("CASE WHEN k % 2 = 0 THEN id ELSE 'fresh-' || event_id END AS id"), "queue", F.lit(None).cast("string").alias("dedup_key"))
     return Z.dedup_against(X.state(spark, sf).select("id", "queue", "status", "dedup_key"), c).select("id", "queue", "outcome")
 
 
-_SET = "se AS (SELECT id, CASE WHEN k % 3 = 0 THEN claim_token + 1 ELSE claim_token END AS token FROM state WHERE status = 'Claimed' UNION ALL SELECT id, event_id * 7 + attempts AS token FROM state WHERE status = 'Done' AND k < 20)"
+_SET = "se AS (SELECT id, CASE WHEN k % 3 = 0 THEN claim_token + 1 ELSE claim_token END AS token FROM state WHERE status = 'Claimed' UNION ALL SELECT id, event_id * 7 + attempts AS token FROM state WHERE status = 'Done')"
 
 
 def _settlements(spark, sf):
     s = X.state(spark, sf)
-    return s.where("status = 'Claimed'").select("id", F.expr("CASE WHEN k % 3 = 0 THEN claim_token + 1 ELSE claim_token END AS token")).unionByName(s.where("status = 'Done' AND k < 20").select("id", F.expr("event_id * 7 + attempts AS token")))
+    return s.where("status = 'Claimed'").select("id", F.expr("CASE WHEN k % 3 = 0 THEN claim_token + 1 ELSE claim_token END AS token")).unionByName(s.where("status = 'Done'").select("id", F.expr("event_id * 7 + attempts AS token")))
 
 
 @query("settlement_fence", f"WITH {X.STATE}, {_SET} SELECT se.id, se.token, CASE WHEN s.id IS NULL THEN 'ClaimLost' ELSE 'Current' END AS fence FROM se LEFT JOIN state s ON se.id = s.id AND s.status = 'Claimed' AND s.claim_token = se.token")
@@ -101,11 +101,11 @@ def _(spark, sf):
     return Z.dead_letter(configured(spark, sf).where("status = 'Claimed'"), NOW, "bad input").select("id", "status", "claimed_at", "failed_at", "last_error", "attempts")
 
 
-_CAN = "ca AS (SELECT CASE WHEN v % 11 = 0 THEN 'gone-' || event_id ELSE id END AS id FROM jobs WHERE k >= 90)"
+_CAN = "ca AS (SELECT CASE WHEN v % 11 = 0 THEN 'gone-' || event_id ELSE id END AS id FROM jobs)"
 
 
 def _some(spark, sf):
-    return X.jobs(spark, sf).where("k >= 90").select(F.expr("CASE WHEN v % 11 = 0 THEN 'gone-' || event_id ELSE id END AS id"))
+    return X.jobs(spark, sf).select(F.expr("CASE WHEN v % 11 = 0 THEN 'gone-' || event_id ELSE id END AS id"))
 
 
 @query("cancel_outcome", f"WITH {X.STATE}, {_CAN} SELECT ca.id, s.status, CASE WHEN s.status IN ('Pending', 'Scheduled') THEN 'Removed' WHEN s.status = 'Claimed' THEN 'Requested' ELSE 'NotFound' END AS outcome FROM ca LEFT JOIN state s ON ca.id = s.id")
@@ -158,9 +158,15 @@ def _(spark, sf):
     return Z.after_sweep(c, Z.expired(c, NOW)).groupBy("queue", "status").agg(F.count("*").alias("n"))
 
 
-@query("wait_outcome", f"WITH {X.ATTEMPTS}, w AS (SELECT CASE WHEN v % 13 = 0 THEN 'none-' || event_id ELSE id END AS id, enqueued_at + 5000 AS until_ms FROM jobs WHERE k BETWEEN 10 AND 20), e AS (SELECT id, max(recorded_at) AS done_at FROM attempts GROUP BY id) SELECT w.id, CASE WHEN e.id IS NULL THEN 'NotFound' WHEN e.done_at <= w.until_ms THEN 'Completed' ELSE 'TimedOut' END AS outcome FROM w LEFT JOIN e ON w.id = e.id")
+@query("history_after_sweep", f"{_SC}, gone AS (SELECT id FROM sc WHERE ({_EXP.replace(str(_LATE), str(NOW))})) SELECT a.queue, a.outcome, count(*) AS n FROM attempts a LEFT JOIN gone ON a.id = gone.id WHERE gone.id IS NULL GROUP BY a.queue, a.outcome")
 def _(spark, sf):
-    w = X.jobs(spark, sf).where("k BETWEEN 10 AND 20").select(F.expr("CASE WHEN v % 13 = 0 THEN 'none-' || event_id ELSE id END AS id"), F.expr("enqueued_at + 5000 AS until"))
+    left = Z.after_sweep(X.attempts(spark, sf), Z.expired(configured(spark, sf), NOW))
+    return left.groupBy("queue", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("wait_outcome", f"WITH {X.ATTEMPTS}, w AS (SELECT CASE WHEN v % 13 = 0 THEN 'none-' || event_id ELSE id END AS id, enqueued_at + 5000 AS until_ms FROM jobs), e AS (SELECT id, max(recorded_at) AS done_at FROM attempts GROUP BY id) SELECT w.id, CASE WHEN e.id IS NULL THEN 'NotFound' WHEN e.done_at <= w.until_ms THEN 'Completed' ELSE 'TimedOut' END AS outcome FROM w LEFT JOIN e ON w.id = e.id")
+def _(spark, sf):
+    w = X.jobs(spark, sf).select(F.expr("CASE WHEN v % 13 = 0 THEN 'none-' || event_id ELSE id END AS id"), F.expr("enqueued_at + 5000 AS until"))
     e = X.attempts(spark, sf).groupBy("id").agg(F.max("recorded_at").alias("done_at")).withColumn("_known", F.lit(True))
     return Z.wait_outcome(e, w).select("id", "outcome")
 

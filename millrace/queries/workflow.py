@@ -49,16 +49,25 @@ def _(spark, sf):
     return t.groupBy("run_id", "status").agg(F.count("*").alias("deliveries"))
 
 
-@query("run_status", "SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 10 = 0 THEN 'Cancelling' WHEN o_orderkey % 2 = 0 THEN 'Running' ELSE 'Pending' END AS status FROM orders WHERE o_orderstatus = 'O'")
+# live orders are runs; a line of such an order is a step, of which the last stands for the run's job
+_RUN = "ru AS (SELECT o_orderkey AS run_id, o_custkey % 10 = 0 AS cancel FROM orders WHERE o_orderstatus = 'O'), rj AS (SELECT l_orderkey AS run_id, arg_max(CASE l_suppkey % 4 WHEN 0 THEN 'Claimed' WHEN 1 THEN 'Scheduled' ELSE 'Pending' END, l_linenumber * 1000000 + l_suppkey) AS status FROM lineitem GROUP BY 1)"
+
+
+def _live_runs(spark, sf):
+    runs = X.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 10 == 0).alias("cancel"))
+    status = F.expr("CASE l_suppkey % 4 WHEN 0 THEN 'Claimed' WHEN 1 THEN 'Scheduled' ELSE 'Pending' END")
+    jobs = X.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.max_by(status, F.struct("l_linenumber", "l_suppkey")).alias("status"))
+    return runs, jobs
+
+
+@query("run_status", f"WITH {_RUN} SELECT ru.run_id, CASE WHEN ru.cancel THEN 'Cancelling' WHEN rj.status = 'Claimed' THEN 'Running' ELSE 'Pending' END AS status FROM ru LEFT JOIN rj ON ru.run_id = rj.run_id")
 def _(spark, sf):
-    o = X.table(spark, sf, "orders").where("o_orderstatus = 'O'")
-    return o.select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_custkey") % 10 == 0, "Cancelling").when(F.col("o_orderkey") % 2 == 0, "Running").otherwise("Pending").alias("status"))
+    return W.run_status(*_live_runs(spark, sf))
 
 
-@query("run_cancel", "WITH c AS (SELECT c_custkey * 3 AS run_id FROM customer) SELECT c.run_id, o.o_orderkey IS NOT NULL AS accepted, CASE WHEN o.o_orderkey IS NULL THEN NULL WHEN o.o_orderkey % 2 = 0 THEN 'requested' ELSE 'removed' END AS how FROM c LEFT JOIN orders o ON o.o_orderkey = c.run_id AND o.o_orderstatus = 'O'")
+@query("run_cancel", f"WITH {_RUN}, c AS (SELECT c_custkey * 3 AS run_id FROM customer) SELECT c.run_id, ru.run_id IS NOT NULL AS accepted, CASE WHEN ru.run_id IS NULL THEN NULL WHEN rj.status IN ('Pending', 'Scheduled') THEN 'removed' ELSE 'requested' END AS how FROM c LEFT JOIN ru ON ru.run_id = c.run_id LEFT JOIN rj ON rj.run_id = c.run_id")
 def _(spark, sf):
-    live = X.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 2 == 0, "requested").otherwise("removed").alias("how"))
-    return X.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("run_id")).join(live, "run_id", "left").select("run_id", F.col("how").isNotNull().alias("accepted"), "how")
+    return W.run_cancel(X.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("run_id")), *_live_runs(spark, sf))
 
 
 @query("run_submit_outcome", "WITH c AS (SELECT c_custkey AS run_id, sha256(CASE WHEN c_custkey % 3 = 0 THEN 'other' ELSE 'in' || c_custkey END) AS h FROM customer), d AS (SELECT o_orderkey AS run_id, sha256('in' || o_orderkey) AS h FROM orders WHERE o_orderstatus = 'O') SELECT c.run_id, CASE WHEN d.h IS NULL THEN 'New' WHEN d.h = c.h THEN 'Duplicate' ELSE 'InputMismatch' END AS outcome FROM c LEFT JOIN d ON c.run_id = d.run_id")
@@ -98,14 +107,9 @@ def _(spark, sf):
     return W.signal_conflicts(_waiters(spark, sf), DAY)
 
 
-@query("lease_overlap", f"WITH {X.ATTEMPTS}, l AS (SELECT queue, id, attempt, claimed_at, recorded_at FROM attempts) SELECT a.queue, a.id, a.attempt, b.id AS other_id, b.attempt AS other_attempt FROM l a JOIN l b ON a.queue = b.queue AND a.id < b.id AND a.claimed_at < b.recorded_at AND b.claimed_at < a.recorded_at")
+@query("lease_overlap", f"WITH {X.ATTEMPTS}, l AS (SELECT queue, id, attempt, claimed_at, recorded_at FROM attempts) SELECT a.queue, a.id, a.attempt, count(b.id) AS overlaps FROM l a LEFT JOIN l b ON a.queue = b.queue AND a.id <> b.id AND a.claimed_at < b.recorded_at AND b.claimed_at < a.recorded_at GROUP BY a.queue, a.id, a.attempt")
 def _(spark, sf):
-    a = X.attempts(spark, sf).select("queue", "id", "attempt", "claimed_at", "recorded_at")
-    # leases last 30 s at most: each meets its bucket and, to be found once, the other's buckets
-    b = lambda df: df.withColumn("bkt", F.explode(F.expr("sequence(claimed_at div 30000, recorded_at div 30000)")))
-    y = b(a).select("queue", "bkt", *[F.col(c).alias(f"o_{c}") for c in ("id", "attempt", "claimed_at", "recorded_at")])
-    j = b(a).join(y, ["queue", "bkt"]).where("id < o_id AND claimed_at < o_recorded_at AND o_claimed_at < recorded_at AND bkt = greatest(claimed_at, o_claimed_at) div 30000")
-    return j.select("queue", "id", "attempt", F.col("o_id").alias("other_id"), F.col("o_attempt").alias("other_attempt"))
+    return W.lease_overlaps(X.attempts(spark, sf).select("queue", "id", "attempt", "claimed_at", "recorded_at"))
 
 
 # ---------------------------------------------------------------- memo, results, typed jobs

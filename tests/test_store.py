@@ -212,7 +212,7 @@ def test_cron_rejects(bad):
 
 def test_cron(spark):
     t0 = 600_000
-    assert C.next_firing(spark, {"m": "* * * * *"}, t0, 1).first()["next_fire"] == t0 + 60_000
+    assert C.next_firing(spark, {"m": "* * * * *"}, t0).first()["next_fire"] == t0 + 60_000
     got = [r["fire_at"] for r in C.firings(spark, {"d": "*/30 0 1 1 *"}, -1, 3_600_000).orderBy("fire_at").collect()]
     assert got == [0, 1_800_000]
 
@@ -262,8 +262,12 @@ def test_cron_does_not_fill_gaps(spark, tmp_path):
 def test_next_after_agrees_with_the_minutes(spark):
     for e in ("0 9 * * 1-5", "30 6 13 * 5", "*/20 3,4 * 2 *", "59 23 31 12 *"):
         for now in (0, 1_709_251_199_000, 1_735_689_540_000):
-            assert C.next_after(e, now) == C.next_firing(spark, {"x": e}, now, 800).first()["next_fire"]
-    assert C.next_after("0 0 31 2 *", 0) is None
+            assert C.next_after(e, now) == C.next_firing(spark, {"x": e}, now).first()["next_fire"]
+    leap, before_2100 = 1_740_787_200_000, 4_100_000_000_000
+    for now in (leap, before_2100):
+        assert C.next_after("0 0 29 2 *", now) == C.next_firing(spark, {"x": "0 0 29 2 *"}, now).first()["next_fire"]
+    assert C.next_after("0 0 29 2 *", leap) == 1_835_395_200_000 and C.next_after("0 0 29 2 *", before_2100) == 4_233_686_400_000
+    assert C.next_after("0 0 31 2 *", 0) is None and C.next_firing(spark, {"x": "0 0 31 2 *"}, 0).count() == 0
 
 
 def test_signal_wait(spark, tmp_path):
@@ -280,3 +284,43 @@ def test_signal_wait(spark, tmp_path):
     s = stream_of(spark, rows, "ckey STRING, at BIGINT, kind STRING, id STRING, timeout_ms BIGINT", str(tmp_path / "in"))
     got = sorted((r["waiter"], r["event"], r["signal"]) for r in drain(P.stateful(s, "ckey", P.SignalWait, "EventTime"), "update").collect())
     assert got == [("w1", "matched", "s1"), ("w2", "matched", "s3"), ("w3", "timed_out", None), ("w4", "conflict", None), ("w5", "matched", "s4"), ("w6", "timed_out", None)]
+
+
+def test_one_hot_key_is_spread(spark):
+    """A key with most rows: folds, as-of passes and ranks agree with a plain pass, and its segments fill many tasks."""
+    import random
+
+    from millrace.operators import ordered as O
+
+    rng, rows, value, applied, refused = random.Random(4), [], None, 0, 0
+    for seq in range(20_000):
+        op, expected, new = rng.choice(["put", "delete", "cas", "cas", "cas", "cad"]), rng.choice([None, "a", "b"]), rng.choice(["a", "b"])
+        rows.append(("hot", seq, op, expected, new))
+        if op in ("put", "delete") or value == expected:
+            value, applied = new if op in ("put", "cas") else None, applied + 1
+        else:
+            refused += 1
+    cmds = spark.createDataFrame(rows, "key STRING, seq BIGINT, op STRING, expected STRING, value STRING")
+    assert tuple(K.fold(cmds).first()) == ("hot", value, applied, refused)
+    parts = O.running(cmds, ["key"], F.expr("seq div 512"), ["seq"], F.col("op").isin("put", "delete").cast("bigint"), "seg").repartition(16, "key", "seg")
+    shares = [r["count"] for r in parts.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(shares) >= 14 and max(shares) < 3 * 20_000 / 16
+    df = spark.createDataFrame([("g", rng.randrange(5000), rng.choice([None, "x", "y"])) for _ in range(3000)], "g STRING, at BIGINT, v STRING").withColumn("n", F.monotonically_increasing_id())
+    order = sorted(map(tuple, df.collect()), key=lambda r: (r[1], r[3]))
+    for back in (True, False):
+        for own in (True, False):
+            got = {r["n"]: r["x"] for r in O.neighbour(df, ["g"], F.expr("at div 100"), ["at", "n"], F.col("v"), "x", back, own).collect()}
+            last = None
+            for r in order if back else reversed(order):
+                here = r[2] if own and r[2] is not None else last
+                assert got[r[3]] == here
+                last = r[2] if r[2] is not None else last
+
+
+def test_lease_overlaps(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("q", f"j{i}", 1, t, t + 1 + rng.randrange(300)) for i in range(200) for t in [rng.randrange(5000)]]
+    got = {r["id"]: r["overlaps"] for r in W.lease_overlaps(spark.createDataFrame(rows, "queue STRING, id STRING, attempt BIGINT, claimed_at BIGINT, recorded_at BIGINT"), 100).collect()}
+    assert got == {a[1]: sum(a[1] != b[1] and a[3] < b[4] and b[3] < a[4] for b in rows) for a in rows}
