@@ -96,31 +96,39 @@ def copied(df: DataFrame, hot: DataFrame, by: list[str], parts: int) -> DataFram
     return df.join(F.broadcast(hot), by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 40, parts: int = 64) -> DataFrame:
     """Smallest reachable vertex of each vertex of ``edges(a, b)``: rows ``(v, root)``.
 
     Alternates large-star and small-star contraction until the edge set is a set of stars.
-    Vertices without an edge do not appear. Every round is written to the shared folder.
+    Vertices without an edge do not appear. Every round is written to the shared folder. A vertex with a
+    ``parts``-th of all edges or more (at most ``2 * parts`` such) has them dealt over ``parts`` tasks.
     """
+
+    def with_least(ends: DataFrame, total: int) -> DataFrame:
+        """``ends(u, v)`` with ``m``, the least ``v`` of each ``u``."""
+        least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = least.where(f"n * {parts} >= {total}").select("u", F.lit(True).alias("_hot"))
+        rows = dealt(ends.withColumn("_spread", F.xxhash64("v")), hot, ["u"], parts)
+        return rows.join(copied(least.select("u", "m"), hot, ["u"], parts), ["u", "_salt"]).select("u", "v", "m")
+
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     cur = materialise(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    last = None
-    for _ in range(rounds):
+    last, n = None, cur.count()
+    for _ in range(rounds if n else 0):
         # large star: every larger neighbour of u is tied to the least of u and its neighbours
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(sym, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are tied to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        hop = large.join(low, F.col("u") == F.col("k"))
-        small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        hop = with_least(large, n)
+        small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(hop.select("u", F.col("m").alias("v")))
         before, cur = cur, materialise(small.distinct(), "cc")
         release(before)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
-        last = state
+        last, n = state, state[0]
     else:
-        raise RuntimeError("the components did not settle")
+        if n:
+            raise RuntimeError("the components did not settle")
     roots = cur.select(F.col("u").alias("v"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())

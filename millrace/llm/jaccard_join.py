@@ -2,18 +2,20 @@
 
 1. Each document becomes the set of hashes of its five-word shingles (of all its words, if fewer).
    Documents with equal sets are one representative with a multiplicity; copies go no further.
-2. ``RUNS`` times, a representative walks a path of shared tokens: at each node, the token of its set
+2. In each run, a representative walks a path of shared tokens: at each node, the token of its set
    that a hash function of that run and depth puts first. Two sets of likeness s choose the same
    token with probability s. Buckets start at depth two; one of more than ``SMALL`` sets is split by
-   the third token, then by the fourth. A pair at 0.8 is missed with probability
-   (1 - 0.8**2)**12 = 5e-6 where buckets are small, and at most (1 - 0.8**4)**12 = 2e-3.
-3. Small buckets are compared all against all on 64-byte sketches; pairs whose sketches agree in 0.6
-   or more (four standard deviations below 0.8) tie their sets. A bucket that four tokens
-   did not split ties all its sets. Ties are spanning trees, so no list of all pairs is ever made.
-4. Connected ties are candidate groups. Inside a group the shingle sets are built again from the
-   whole texts and every pair is counted exactly; a large group is dealt into blocks and compared block
-   against block, so no task holds an unbounded group, and the tasks return numbers of links and
-   spanning trees of true links.
+   the third token, then by the fourth. ``RUNS`` is the number of runs after which a pair at 0.8 is
+   found with ``RECALL`` even where every bucket has to be split to the end; where buckets are small
+   it is missed with probability (1 - 0.8**2)**RUNS = 5e-6.
+3. A small bucket is brute-forced: pairs whose 64-byte sketches agree in 0.6 or more (four standard
+   deviations below 0.8) are counted exactly on the whole texts' shingle sets. A pair belongs to the first run in
+   which its sets share a small bucket, so it is counted once, and a text goes only to buckets that
+   have a pair of it to count: at most one for each run, however many near copies there are.
+4. Sets that share a bucket which four tokens did not split are all but equal. Such buckets, joined where they
+   share sets, are dense groups; every pair of a group is counted exactly, block against block of
+   ``BLOCK`` sets, so no task holds an unbounded group. Buckets leave those pairs out.
+5. Tasks return numbers of links and spanning trees of true links, never all pairs.
 
 Likeness is |A & B| / |A | B| of the sets of 64-bit hashes; links need ``9 * |A & B| >= 4 * (|A| + |B|)``,
 that is 0.8. Null and empty texts (no word) have no set, no link and a class of their own. Words are
@@ -23,6 +25,7 @@ runs of ``\\w`` of the lower-cased text. Rows with the same id are rows like any
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import connected_components, map_arrow, materialise, read_table, release
 
-SHINGLE, RUNS, DEPTH, SMALL, SKETCH, NEAR = 5, 12, 4, 64, 64, 38
+SHINGLE, DEPTH, SMALL, SKETCH, NEAR, RECALL = 5, 4, 64, 64, 38, 0.997
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - 0.8**DEPTH))  # 12; a run has DEPTH of the SKETCH hash functions
 BLOCK, BLOCK_CHARS = 1024, 16 << 20
 SPREAD, SALTS = 64, 16
 WORD = re.compile(r"\w+")
@@ -131,27 +135,9 @@ def _tree(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _star_edges(leaves: DataFrame) -> DataFrame:
-    """``leaves(members array<struct<sid, sketch>>)``: spanning trees of the pairs whose sketches agree."""
-
-    def go(batches):
-        for batch in batches:
-            a, b = [], []
-            for members in batch.column(0).to_pylist():
-                sid = [r["sid"] for r in members]
-                sk = np.frombuffer(b"".join(r["sketch"] for r in members), np.uint8).reshape(len(sid), SKETCH)
-                label = _tree((sk[:, None, :] == sk[None, :, :]).sum(2) >= NEAR)
-                for i in np.flatnonzero(label != np.arange(len(sid))):
-                    a.append(sid[i])
-                    b.append(sid[label[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return leaves.transform(map_arrow, go, "a long, b long")
-
-
-def candidate_edges(reps: DataFrame, small: int = SMALL) -> DataFrame:
-    """Edges (a, b) that span, run by run and bucket by bucket, the representatives that may be near."""
-    rows = reps.select("sid", F.explode("paths").alias("p")).select("sid", "p.node", "p.c", "p.d")
+def buckets(reps: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Small buckets as rows (leaf, r, sid), and edges (a, b) that span each bucket that could not be split."""
+    rows = reps.select("sid", F.posexplode("paths").alias("r", "p")).select("sid", "r", "p.node", "p.c", "p.d")
 
     salt = F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("_salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
@@ -166,15 +152,41 @@ def candidate_edges(reps: DataFrame, small: int = SMALL) -> DataFrame:
     three = materialise(sized(three, "node3"), "depth3")
     four = three.where(f"_m > {small}").drop("_m").withColumn("node4", F.xxhash64("node3", "d"))
     four = materialise(sized(four, "node4"), "depth4")
-    leaf = two.where(f"_m <= {small}").select(F.col("node").alias("leaf"), "sid")
-    leaf = leaf.unionByName(three.where(f"_m <= {small}").select(F.col("node3").alias("leaf"), "sid"))
-    leaf = leaf.unionByName(four.where(f"_m <= {small}").select(F.col("node4").alias("leaf"), "sid"))
-    members = leaf.join(reps.select("sid", "sketch"), "sid").groupBy("leaf").agg(F.collect_list(F.struct("sid", "sketch")).alias("members"))
-    edges = _star_edges(members.select("members"))
+    leaf = lambda df, node: df.where(f"_m <= {small}").select(F.col(node).alias("leaf"), "r", "sid")
+    leaves = leaf(two, "node").unionByName(leaf(three, "node3")).unionByName(leaf(four, "node4"))
     rest = four.where(f"_m > {small}").select("node4", "sid")
     centre = rest.groupBy("node4").agg(F.min("sid").alias("b")).select("node4", "b", salts)
     whole = rest.select("*", salt).join(centre, ["node4", "_salt"]).where("sid <> b").select(F.col("sid").alias("a"), "b")
-    return edges.unionByName(whole).distinct()
+    return leaves, whole.distinct()
+
+
+def _own_pairs(r: int, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Which pairs of a bucket of run ``r`` are counted there: not in an earlier run's bucket, nor in a dense group.
+
+    ``at``: the buckets of each set by run, 0 for none; ``dense``: its dense group, 0 for none.
+    """
+    earlier = ((at[:, None, :r] == at[None, :, :r]) & (at[:, None, :r] != 0)).any(2)
+    own = ~earlier & ((dense[:, None] != dense[None, :]) | (dense[:, None] == 0))
+    np.fill_diagonal(own, False)
+    return own
+
+
+def to_verify(leaves: DataFrame) -> DataFrame:
+    """``leaves(leaf, r, members array<struct<sid, sketch, at, dense>>)``: rows (leaf, r, sid, at, dense) of sets that have a pair to count there."""
+
+    def go(batches):
+        for batch in batches:
+            out = []
+            for leaf, r, members in zip(*(c.to_pylist() for c in batch.columns)):
+                sk = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), SKETCH)
+                near = (sk[:, None, :] == sk[None, :, :]).sum(2) >= NEAR
+                if len(members) > 1 and near.sum() > len(members):
+                    near &= _own_pairs(r, np.array([m["at"] for m in members], np.int64), np.array([m["dense"] for m in members], np.int64))
+                    out += [(leaf, r, m["sid"], m["at"], m["dense"]) for m, any_ in zip(members, near.any(1)) if any_]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64()))], ["leaf", "r", "sid", "at", "dense"])
+
+    return leaves.transform(map_arrow, go, "leaf long, r int, sid long, at array<long>, dense long")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -213,25 +225,29 @@ def _add(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _LINKS = "sid long, links long, tied long"
 
 
-def verified(groups: DataFrame) -> DataFrame:
-    """``groups(root, bi, bj, side, sid, mult, text)`` sorted by the first three: per set and group the
-    number of documents that it links to there, and the set that stands for its component there."""
-
-    def finish(rows):
-        sets = shingle_sets([r[3] or "" for r in rows])
-        best = {rows[k][1]: k for k, key in enumerate(set_keys(sets).tolist()) if key == rows[k][1]}  # a set that more rows carry counts once
-        rows, sets = [rows[k] for k in best.values()], [sets[k] for k in best.values()]
-        if len(rows) < 2:
-            return [], [], []
-        n, side = np.array([len(s) for s in sets]), np.array([r[0] for r in rows])
-        near = 9 * _common(sets) >= 4 * (n[:, None] + n[None, :])
-        np.fill_diagonal(near, False)
-        if side.any():  # two blocks: pairs inside one are counted elsewhere
-            near &= side[:, None] != side[None, :]
-        links = near @ np.array([r[2] for r in rows])
-        label = _tree(near)
-        keep = np.flatnonzero(near.any(1))
-        return [rows[k][1] for k in keep], links[keep].tolist(), [rows[label[k]][1] for k in keep]
+def _links(rows: list[tuple], own) -> tuple[list, list, list]:
+    """Sets that link, their links and the set that stands for their component, among rows (sid, mult, text, ...);
+    ``own`` says of the rows kept which pairs count."""
+    sets = shingle_sets([r[2] or "" for r in rows])
+    best = {rows[k][0]: k for k, key in enumerate(set_keys(sets).tolist()) if key == rows[k][0]}  # a set that more rows carry counts once
+    rows, sets = [rows[k] for k in best.values()], [sets[k] for k in best.values()]
+    if len(rows) < 2:
+        return [], [], []
+    n, mask = np.array([len(s) for s in sets]), own(rows)
+    np.fill_diagonal(mask, False)
+    pairs = np.argwhere(np.triu(mask))
+    if len(pairs) <= 16:
+        near = np.zeros_like(mask)
+        for i, j in pairs:
+            near[i, j] = near[j, i] = 9 * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= 4 * (n[i] + n[j])
+    else:
+        near = mask & (9 * _common(sets) >= 4 * (n[:, None] + n[None, :]))
+    links, label, keep = near @ np.array([r[1] for r in rows]), _tree(near), np.flatnonzero(near.any(1))
+    return [rows[k][0] for k in keep], links[keep].tolist(), [rows[label[k]][0] for k in keep]
+
+
+def _by_group(groups: DataFrame, width: int, own) -> DataFrame:
+    """``groups`` in order of its first ``width`` columns, the rest (sid, mult, text, ...): links of each group."""
 
     def emit(got):
         return pa.RecordBatch.from_arrays([pa.array([x for g in got for x in g[k]], pa.int64()) for k in range(3)], ["sid", "links", "tied"])
@@ -239,22 +255,39 @@ def verified(groups: DataFrame) -> DataFrame:
     def go(batches):
         at, rows, got = None, [], []
         for batch in batches:
-            for root, bi, bj, side, sid, mult, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, bi, bj) != at:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:width] != at:
                     if len(rows) > 1:
-                        got.append(finish(rows))
-                    at, rows = (root, bi, bj), []
-                rows.append((side, sid, mult, text))
+                        got.append(_links(rows, lambda kept: own(at, kept)))
+                    at, rows = row[:width], []
+                rows.append(row[width:])
             if len(got) > 500:
                 yield emit(got)
                 got = []
         if len(rows) > 1:
-            got.append(finish(rows))
+            got.append(_links(rows, lambda kept: own(at, kept)))
         yield emit(got)
 
     return groups.transform(map_arrow, go, _LINKS)
 
 
+def verified_buckets(rows: DataFrame) -> DataFrame:
+    """``rows(leaf, r, sid, mult, text, at, dense)`` sorted by bucket: links of the pairs that the bucket counts."""
+    return _by_group(rows, 2, lambda at, kept: _own_pairs(at[1], np.array([r[3] for r in kept], np.int64), np.array([r[4] for r in kept], np.int64)))
+
+
+def verified_blocks(rows: DataFrame) -> DataFrame:
+    """``rows(root, bi, bj, sid, mult, text, side)`` sorted by the first three: links of a block's pairs, or of those across two blocks."""
+
+    def across(at, kept):
+        side = np.array([r[3] for r in kept])
+        if at[1] == at[2]:
+            return np.ones((len(kept), len(kept)), bool)
+        return side[:, None] != side[None, :]  # pairs inside one block are counted elsewhere
+
+    return _by_group(rows, 3, across)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, th, class_id, n_links, n_shingles), one for each row of ``docs(doc_id, text)``.
 
@@ -265,21 +298,32 @@ def near_classes(docs: DataFrame) -> DataFrame:
     run = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SPREAD)).cast("int").alias("_run")
     one = real.groupBy("sid", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "th")).alias("at"), F.count("*").alias("mult"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     reps = materialise(one, "sets")
-    ties = connected_components(candidate_edges(reps))
-    cand = materialise(ties.select(F.col("v").alias("sid"), "root").join(reps.select("sid", F.xxhash64("at.doc_id", "at.th").alias("_row"), "mult"), "sid"), "candidates")
+    leaves, whole = buckets(reps)
+    leaves = materialise(leaves, "leaves")
+    dense = connected_components(whole).select(F.col("v").alias("sid"), F.col("root").alias("dense"))
+    places = F.array(*[F.coalesce(F.max(F.when(F.col("r") == k, F.col("leaf"))), F.lit(0)) for k in range(RUNS)])
+    info = leaves.groupBy("sid").agg(places.alias("at")).join(reps.select("sid", "sketch"), "sid").join(dense, "sid", "left")
+    info = info.select("sid", F.struct("sid", "sketch", "at", F.coalesce("dense", F.lit(0)).alias("dense")).alias("m"))
+    full = leaves.join(info, "sid").groupBy("leaf", "r").agg(F.collect_list("m").alias("members"))  # at most SMALL
+    pending = materialise(to_verify(full), "pending")
+    need = pending.select("sid").unionByName(dense.select("sid")).distinct()
+    cand = need.join(reps.select("sid", F.xxhash64("at.doc_id", "at.th").alias("_row"), "mult"), "sid")
     body = F.coalesce("text", F.lit(""))
     text = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(body)).alias("_row"), body.alias("text"))
     # a merge join at every size: candidates grow with the corpus, and so would a broadcast of them
     with_text = cand.hint("merge").join(text, "_row")
     # rows of equal id and text are one
-    with_text = materialise(with_text.groupBy("_row", "sid", "root", "mult").agg(F.first("text").alias("text")).drop("_row"), "texts")
-    blocks = with_text.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("nb"))
-    dealt = with_text.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("root", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "sid", "mult", "text")
-    groups = dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    links = materialise(verified(groups), "links")
-    release(with_text)
+    with_text = materialise(with_text.groupBy("_row", "sid", "mult").agg(F.first("text").alias("text")).drop("_row"), "texts")
+    each = pending.join(with_text, "sid").select("leaf", "r", "sid", "mult", "text", "at", "dense")
+    found = verified_buckets(each.repartition("leaf").sortWithinPartitions("leaf", "r"))
+    grouped = with_text.join(dense.withColumnRenamed("dense", "root"), "sid")
+    parts = grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("nb"))
+    blocks = grouped.join(parts, "root").withColumn("b", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    blocks = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = blocks.select("root", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "sid", "mult", "text", F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"))
+    across = verified_blocks(blocks.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj"))
+    links = materialise(found.unionByName(across), "links")
+    release(with_text, pending, leaves)
     classes = connected_components(links.select(F.col("sid").alias("a"), F.col("tied").alias("b")))
     degree = links.groupBy("sid").agg(F.sum("links").alias("links"))
     every = reps.select("sid", "doc", "mult").join(classes.select(F.col("v").alias("sid"), "root"), "sid", "left").join(degree, "sid", "left")

@@ -662,3 +662,47 @@ def test_character_network_by_loops():
     raw = np.concatenate([body, total / n, side]) @ net.v + net.c
     assert net.score(secrets.encode(w))[0] == pytest.approx(1 / (1 + np.exp(-(net.scale * raw + net.shift))))
     assert 0 < net.threshold < 1
+
+
+def test_recall_of_the_join(spark):
+    """Every row whose id is divisible by 50 against all rows, by brute force over an inverted index."""
+    from collections import defaultdict
+
+    from millrace.llm.common import read_table
+
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["n_links"] for r in rows(jaccard_join.near_classes(docs))}
+    sets, where = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = re.findall(r"\w+", (t or "").lower())
+        sets[i] = frozenset(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        for x in sets[i]:
+            where[x].append(i)
+    links = found = 0
+    for i in texts:
+        if i % 50 == 0:
+            common = Counter(j for x in sets[i] for j in where[x] if j != i)
+            want = sum(9 * n >= 4 * (len(sets[i]) + len(sets[j])) for j, n in common.items())
+            assert got[i] <= want
+            links, found = links + want, found + got[i]
+    assert links > 50 and found >= 0.99 * links
+
+
+def test_components_with_a_hub(spark):
+    from millrace.llm.common import connected_components
+
+    rng = np.random.default_rng(9)
+    edges = [(0, i) for i in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(400, 900, (300, 2))] + [(i, i + 1) for i in range(2000, 2300)]
+    label = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    df = spark.createDataFrame(edges, "a BIGINT, b BIGINT")
+    assert {r["v"]: r["root"] for r in connected_components(df).collect()} == {v: c for v, c in label.items() if any(a != b and v in (a, b) for a, b in edges)}
+    assert connected_components(df.limit(0)).count() == 0
