@@ -86,28 +86,27 @@ class _Words:
         known, model, rest = self.young, self.full.model, []
         for w in new:
             if w.isascii():
-                if w.isalpha():
-                    known[w] = self._letters(w.decode())
-                else:
+                if not w.isalpha():
                     rest.append(w)
-                continue
-            x = w.decode()
-            if x.isalpha():
-                known[w] = self._letters(w.decode("latin-1").translate(_BYTE_CHARS))
-            elif unicodedata.is_normalized("NFC", x):
-                rest.append(w)
-            else:  # lower-casing left characters that composing once more would join
-                ids = [t.id for part, _ in self.full.pre_tokenizer.pre_tokenize_str(x) for t in model.tokenize(part)]
-                known[w] = _packed(ids)
+                    continue
+                x = w.decode()
+            else:
+                x = w.decode()
+                if x.isalpha():
+                    x = w.decode("latin-1").translate(_BYTE_CHARS)
+                elif unicodedata.is_normalized("NFC", x):
+                    rest.append(w)
+                    continue
+                else:  # lower-casing left characters that composing once more would join
+                    known[w] = _packed([t.id for part, _ in self.full.pre_tokenizer.pre_tokenize_str(x) for t in model.tokenize(part)])
+                    continue
+            # letters alone are one word to the tokenizer: its model needs no more than their bytes
+            known[w] = array("I", [t.id for t in model.tokenize(x)]).tobytes()
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 known[w] = _packed(e.ids)
 
-    def _letters(self, x: str) -> bytes:
-        """Letters alone are one word to the tokenizer: its model needs no more than their bytes."""
-        return array("I", [t.id for t in self.full.model.tokenize(x)]).tobytes()
-
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
