@@ -159,7 +159,6 @@ def parse(page: str) -> Node:
         node.main = not node.drop and name in ("article", "main")
         at = node
         still[name] += 1
-    _weigh(root)
     return root
 
 
@@ -296,14 +295,27 @@ def unpacked_bones(said: str) -> Bone:
     return made[0]
 
 
-def layout(top: Bone) -> int:
+def _blocks(node: Node) -> list[Node]:
+    """The blocks in a node that no other block in it holds."""
+    out, stack = [], [iter(node.items)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, str) or x.tag in VOID:
+                continue
+            if x.tag in INLINE:
+                stack.append(iter(x.items))
+                break
+            out.append(x)
+        else:
+            stack.pop()
+    return out
+
+
+def layout(root: Node) -> int:
     """Names the elements of the outermost fork of a page."""
-    at = top
-    while True:
-        kids = [k for k in at.kids if k.tag != "head"]
-        if len(kids) != 1 or not kids[0].kids:
-            break
-        at = kids[0]
+    at, kids = root, [k for k in _blocks(root) if k.tag != "head"]
+    while len(kids) == 1 and (inner := [k for k in _blocks(kids[0]) if k.tag != "head"]):
+        at, kids = kids[0], inner
     names = [k.name for k in kids]
     return _hash("|".join([at.name, *(n for i, n in enumerate(names) if not i or n != names[i - 1])]))
 
@@ -458,10 +470,12 @@ def main_text(page: str | None, wrapper: tuple | None = None) -> str:
     skip: set[int] = set()
     if wrapper is not None:
         often, always = template_blocks(skeleton(root), *wrapper)
-        inside = {id(x) for top in mains for x in _nodes(top)}
+        inside = {id(x) for top in mains for x in _nodes(top)} if often else set()
         skip = often - inside
-        if 2 * _size(_texts(mains, always, False)) >= _size(_texts(mains, set(), False)):
-            skip |= always & inside
+        always &= inside
+        if always and 2 * _size(_texts(mains, always, False)) >= _size(_texts(mains, set(), False)):
+            skip |= always
+    _weigh(root)
     marked, body = _texts(mains, skip, False), _texts([root], skip, True)
     return "\n".join(marked if mains and 2 * _size(marked) >= _size(body) else body)
 
@@ -495,10 +509,10 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for batch in batches:
             host, lay, mark, bone = [], [], [], []
             for h, page in zip(*(c.to_pylist() for c in batch.columns)):
-                top = skeleton(parse(page or ""))
-                s = packed_bones(top)
+                root = parse(page or "")
+                s = packed_bones(skeleton(root))
                 host.append(h)
-                lay.append(layout(top))
+                lay.append(layout(root))
                 mark.append(int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 bone.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(lay, pa.int64()), pa.array(mark, pa.int64()), pa.array(bone, pa.string())], ["host", "lay", "mark", "bone"])
@@ -551,7 +565,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def lay(batches):
         for batch in batches:
-            got = [layout(skeleton(parse(page))) if page else 0 for page in batch.column(2).to_pylist()]
+            got = [layout(parse(page)) if page else 0 for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], ["page_id", "url", "html", "host", "_spread", "lay"])
 
     def go(batches):
