@@ -706,3 +706,50 @@ def test_components_with_a_hub(spark):
     df = spark.createDataFrame(edges, "a BIGINT, b BIGINT")
     assert {r["v"]: r["root"] for r in connected_components(df).collect()} == {v: c for v, c in label.items() if any(a != b and v in (a, b) for a, b in edges)}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def brute_digest(t, rank):
+    """The filter chain of one text, window by window."""
+    wide, mask = fingerprint.WINDOW, (1 << 64) - 1
+    if not t:
+        return []
+    if len(t) < wide:
+        hashes = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")]
+    else:
+        count = len(t) - wide + 1
+        entropy = [1000 - sum(int(fingerprint._F[c]) for c in Counter(t[i : i + wide]).values()) * 1000 // int(fingerprint._F[wide]) for i in range(count)]
+        wins = Counter(min(range(i, min(i + fingerprint.STRETCH, count)), key=lambda j: (rank[entropy[j]], j)) for i in range(count))
+        chosen = sorted(i for i, n in wins.items() if n >= fingerprint.POPULAR) or sorted(i for i, n in wins.items() if n == max(wins.values()))
+        hashes = []
+        for i in chosen:
+            words = [int.from_bytes(t[i + 8 * k : i + 8 * k + 8], "little") for k in range(8)]
+            h = sum((w ^ (w >> 29)) * int(m) for w, m in zip(words, fingerprint._MIX)) & mask
+            for s, k in ((31, 0), (27, 1), (33, 2)):
+                h = (h ^ (h >> s)) * int(fingerprint._MIX[k]) & mask
+            h ^= h >> 29
+            if h not in hashes:
+                hashes.append(h)
+    return [{(h >> 11 * k) & (fingerprint.BITS - 1) for h in hashes[at : at + fingerprint.PER_FILTER] for k in range(5)} for at in range(0, len(hashes), fingerprint.PER_FILTER)]
+
+
+def test_digests_and_likeness_by_brute_force():
+    rng = np.random.default_rng(12)
+    texts = [b"", b"short", b"a" * 300, LONG[:6000].encode(), ("é" * 40 + LONG[500:900]).encode(), bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), b"x" * 64, LONG[3000:9000].encode()]
+    rank = fingerprint.ranks(fingerprint.histogram(texts))
+    got, want = fingerprint.digests(texts, rank), [brute_digest(t, rank) for t in texts]
+    bits = [[set(np.flatnonzero(np.unpackbits(row.view(np.uint8))).tolist()) for row in chain] for chain in got]
+    assert bits == want
+
+    def like(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        if a == b:
+            return 1.0
+        a, b = sorted((a, b), key=len)
+        chance = lambda x, y: len(x) * len(y) / fingerprint.BITS
+        return sum(min(1.0, max(0.0, *((len(x & y) - chance(x, y)) / max(min(len(x), len(y)) - chance(x, y), 1e-9) for y in b))) for x in a) / len(a)
+
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            if len(want[i]) != len(want[j]) or want[i] == want[j] or len(want[i]) == 1:
+                assert fingerprint.likeness(got[i], got[j]) == pytest.approx(like(want[i], want[j]), abs=1e-9)
