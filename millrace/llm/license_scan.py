@@ -1,15 +1,17 @@
 """License notices by MinHash bands over overlapping text windows, verified by shingle containment.
 
-Only DataFrame functions run on the documents.
+Only DataFrame functions run on the documents and the templates.
 
 1. A text becomes words (letters and digits, lower case) and the 64-bit hashes of its five-word
-   shingles with their places. Shingles of no template cannot decide anything and are dropped at
-   once by a join with the templates' shingles, a fixed list.
+   shingles, one array a text.
 2. Templates fall into size classes; class c has windows of ``WINDOWS[c]`` shingles that overlap by
-   half, and its templates are at most half as long, so some window holds any notice whole.
-3. A window's signature is ``BANDS`` band values, each the least of one hash function over its
-   shingles that are in a template of the class. A window that holds a share s of a template and
-   nothing else retrieves it with probability 1 - (1 - s)**BANDS: 0.999997 for 0.8.
+   half, and its templates are at most half as long, so some window holds any notice whole. A window
+   without a shingle of its class's templates shares no least hash with any of them, so it has no
+   band to look up and is not built; every other window is built whole.
+3. A window's signature is the least value of each of ``bands_of`` hash functions over all its own
+   shingles, other text included; a band is one value. A window that holds ``CONTAINED`` of a template
+   shares a band with it with probability 1 - ``MISS`` at least, however much other text is in it: the
+   number of bands follows from the least Jaccard similarity that such a window can have.
 4. Each retrieved pair is verified exactly: at least ``CONTAINED`` of the template's shingles are in
    the window. Several templates may be found in a text; notices of fewer than five words are none.
 
@@ -18,14 +20,15 @@ Null and empty texts have no license. Rows with the same id and text agree.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, read_table
+from millrace.llm.common import read_table
 
-SHINGLE, BANDS, CONTAINED = 5, 8, 0.8
+SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
 WINDOWS = (16, 64, 512)
 
 # Notices as their licenses give them.
@@ -61,55 +64,71 @@ def template_rows(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, int,
     return out
 
 
-def _hash(shingle):
-    return F.xxhash64(shingle)
+def bands_of(sizes: list[int], window: int, contained: float = CONTAINED, miss: float = MISS) -> int:
+    """How many one-value bands a class of ``window`` shingles needs, for templates of ``sizes`` shingles.
 
-
-def templates_of(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Rows (license, c, h, n): each template's shingles; a few hundred rows."""
-    rows = [(name, c, s, len(shingles)) for name, c, shingles in template_rows(templates) for s in shingles]
-    return spark.createDataFrame(rows, "license string, c int, s string, n int").select("license", "c", _hash(F.col("s")).alias("h"), "n")
+    A window that holds m of a template's n shingles is similar to it by m / (window + n - m) or more.
+    """
+    held = [(math.ceil(contained * n), n) for n in sizes]
+    least = min(m / (window + n - m) for m, n in held)
+    return math.ceil(math.log(miss) / math.log1p(-least))
 
 
-def _band(k: int):
-    return F.min(F.xxhash64("h", F.lit(k))).alias(f"b{k}")
+def templates_of(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """Rows (license, c, n, own): each template's shingle hashes as an array; literals, no job."""
+    rows = ", ".join(f"('{name}', {c}, {len(shingles)}, array({', '.join(repr(s) for s in shingles)}))" for name, c, shingles in template_rows(templates))
+    t = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, c, n, s)")
+    return t.select("license", "c", "n", F.transform("s", lambda s: F.xxhash64(s)).alias("own"))
 
 
-def _bands(grouped) -> DataFrame:
-    return grouped.agg(*[_band(k) for k in range(BANDS)])
+def _signature(hashes, bands):
+    """The least value of each hash function over ``hashes``."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
 
 
-def shingle_hits(docs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Rows (doc_id, th, c, h, at): places in ``docs(doc_id, text)`` of shingles that a template of class c has."""
+def shingles_of(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, th, hs): the shingle hashes of ``docs(doc_id, text)`` in order, and a hash of the text."""
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), w.alias("w")).where(f"size(w) >= {SHINGLE}")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), w.alias("w"))
     each = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("w", i + k) for k in range(SHINGLE)])))
-    return rows.select("doc_id", "th", F.posexplode(each).alias("at", "h")).join(F.broadcast(shingles.select("c", "h").distinct()), "h")
+    return rows.select("doc_id", "th", F.when(F.size("w") >= SHINGLE, each).alias("hs"))
+
+
+def windows_of(shingles: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
+    """Rows (doc_id, th, c, start, win): windows, as arrays, that hold one of ``hashes`` of their class."""
+    every = sorted({h for own in hashes.values() for h in own})
+    at = F.transform("hs", lambda h, i: F.when(h.isin(every), F.struct(i.alias("i"), h.alias("h"))))
+    placed = shingles.select("doc_id", "th", "hs", F.filter(at, lambda p: p.isNotNull()).alias("at"))
+
+    def starts(c: int):
+        half = WINDOWS[c] // 2
+        mine = F.filter("at", lambda p: p["h"].isin(hashes[c]))
+        slots = F.array_distinct(F.transform(mine, lambda p: F.floor(p["i"] / half).cast("int")))
+        # a place is in the window that starts in its half and in the one before
+        both = F.array_distinct(F.flatten(F.transform(slots, lambda s: F.array((s - 1) * half, s * half))))
+        return F.transform(both, lambda s: F.struct(F.lit(c).alias("c"), s.alias("start")))
+
+    where = placed.select("doc_id", "th", "hs", F.explode(F.concat(*[starts(c) for c in sorted(hashes)])).alias("p"))
+    size = F.element_at(F.array(*[F.lit(x) for x in WINDOWS]), F.col("p.c") + 1)
+    first = F.greatest(F.col("p.start"), F.lit(0))
+    return where.select("doc_id", "th", "p.c", first.alias("start"), F.slice("hs", first + 1, size + F.least(F.col("p.start"), F.lit(0))).alias("win"))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Rows (doc_id, th, license, containment, first_shingle): each notice found in each text."""
-    spark = docs.sparkSession
-    t = templates_of(spark, templates)
-    hits = shingle_hits(docs, t)
-    size = F.element_at(F.array(*[F.lit(x) for x in WINDOWS]), F.col("c") + 1)
-    half = (size / 2).cast("int")
-    slot = F.floor(F.col("at") / half).cast("int")
-    # a place is in the window that starts in its half and in the one before
-    placed = hits.withColumn("win", F.explode(F.array(slot - 1, slot)))
-    placed = materialise(placed.groupBy("doc_id", "th", "c", "win", "h").agg(F.min("at").alias("at")), "hits")
-    sig = _bands(placed.groupBy("doc_id", "th", "c", "win"))
-    own = _bands(t.groupBy("license", "c", "n"))
-    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("v")) for k in range(BANDS)])).alias("b")
-    mine = own.select("license", "c", "n", stack).select("license", "c", "n", "b.k", "b.v")
-    near = sig.select("doc_id", "th", "c", "win", stack).select("doc_id", "th", "c", "win", "b.k", "b.v")
-    pairs = near.join(F.broadcast(mine), ["c", "k", "v"]).select("doc_id", "th", "c", "win", "license", "n").distinct()
-    inside = pairs.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t").withColumnRenamed("c", "_c").withColumnRenamed("win", "_w")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("c") == F.col("_c")) & (F.col("win") == F.col("_w"))
-    both = placed.join(inside, same).select("doc_id", "th", "win", "license", "n", "h", "at")
-    shared = both.join(F.broadcast(t.select("license", "h")), ["license", "h"])
-    held = shared.groupBy("doc_id", "th", "license", "win", "n").agg(F.count("*").alias("m"), F.min("at").alias("at")).where(F.col("m") >= contained * F.col("n"))
-    return held.groupBy("doc_id", "th", "license").agg(F.max(F.col("m") / F.col("n")).alias("containment"), F.min("at").alias("first_shingle"))
+    t = templates_of(docs.sparkSession, templates)
+    hashes, sizes = {}, {}
+    for r in t.collect():  # the templates alone
+        hashes[r["c"]] = sorted({*hashes.get(r["c"], ()), *r["own"]})
+        sizes.setdefault(r["c"], []).append(r["n"])
+    bands = F.element_at(F.array(*[F.lit(bands_of(sizes.get(c, [1]), x, contained)) for c, x in enumerate(WINDOWS)]), F.col("c") + 1)
+    mine = t.select("license", "c", F.posexplode(_signature(F.col("own"), bands)).alias("k", "v"))
+    near = windows_of(shingles_of(docs), hashes).select("*", F.posexplode(_signature(F.col("win"), bands)).alias("k", "v"))
+    pairs = near.join(F.broadcast(mine), ["c", "k", "v"]).join(F.broadcast(t.select("license", "n", "own")), "license")
+    both = pairs.select("doc_id", "th", "license", "n", "start", "win", F.array_intersect("own", "win").alias("both"))
+    at = F.array_min(F.transform("both", lambda h: F.array_position("win", h))) - 1 + F.col("start")
+    held = both.where(F.size("both") >= contained * F.col("n")).select("doc_id", "th", "license", (F.size("both") / F.col("n")).alias("share"), at.cast("int").alias("at"))
+    return held.groupBy("doc_id", "th", "license").agg(F.max("share").alias("containment"), F.min("at").alias("first_shingle"))
 
 
 def licenses_by_document(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Corpus operators on odd input: nulls, empty and very long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -465,6 +466,31 @@ def test_license_windows(spark):
     assert got == {0: "MIT-text", 1: "MIT-text", 2: "Apache-2.0,Apache-2.0-header", 3: "", 4: "", 5: "CC-BY-4.0,ISC"}
 
 
+def test_license_bands_equal_all_pairs(spark):
+    """Notices side by side, broken, and among other words: what the bands retrieve is what SQL finds in every window."""
+    import duckdb
+
+    rng, full = random.Random(8), list(license_scan.TEMPLATES.values())
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(full).split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = "changed"
+            parts += [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 40))), " ".join(w)]
+        texts.append("\n".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: r[2] for r in con.sql(license_scan.SQL).select("doc_id, n_licenses, licenses").fetchall()}
+    assert {r["doc_id"]: r["licenses"] for r in rows(license_scan.licenses_by_document(df))} == want
+    assert sum(v.count(",") + 1 for v in want.values() if v) > 150
+    for n, window in ((1, 16), (9, 64), (33, 512)):
+        held = -(-4 * n // 5)
+        assert (1 - held / (window + n - held)) ** license_scan.bands_of([n], window) <= license_scan.MISS
+
+
 # ---------------------------------------------------------------- 3
 
 SITE = '<html><head><title>T</title><script>a="</p>"</script></head><body><div id="x1"><p>Our site since 1999</p><p><a href="/">Home</a> <a href="/b">B</a></p></div><div id="x2"><h2>Story {0}</h2><p>Tale number {0} is told &amp; here.<br>More {0}</p><p>Ends {0}</p></div><div id="x3"><p>All text of this site is ours</p></div></body></html>'
