@@ -31,15 +31,17 @@ RECALL, SHORTEST = 0.985, 12
 BODY, SIDE, WIDE, FILTERS = 48, 20, 5, 24
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _CLASS = np.zeros(256, np.int64)  # 0: padding
-for _i, _c in enumerate(string.ascii_lowercase + string.digits):
+for _i, _c in enumerate(string.ascii_letters + string.digits + "+/_.=-:\"' @#(),"):
     _CLASS[ord(_c)] = _i + 1
-for _c in string.ascii_uppercase:
-    _CLASS[ord(_c)] = 37 + "AEIOUY".count(_c)
-for _i, _c in enumerate("+/_.=-:\"' @#(),"):
-    _CLASS[ord(_c)] = 39 + _i
-_OTHER = 54
+_OTHER = int(_CLASS.max()) + 1
 _CLASS[(_CLASS == 0) & (np.arange(256) > 0)] = _OTHER
-CLASSES = 55
+CLASSES = _OTHER + 1
+# what the network sees of a class: the letter in either case or the other character, and its kind (capital, digit)
+_SEEN = np.zeros((CLASSES, CLASSES - 26 + 2))
+for _i in range(1, CLASSES):
+    _SEEN[_i, _i if _i <= 26 else _i - 26] = 1
+_SEEN[27:53, -2] = 1
+_SEEN[53:63, -1] = 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -98,8 +100,7 @@ class CharNet:
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.w = rng.normal(0, 0.25, (WIDE, CLASSES, FILTERS))
-        self.w[:, 0] = 0
+        self.w = rng.normal(0, 0.25, (WIDE, _SEEN.shape[1], FILTERS))
         self.b = np.zeros(FILTERS)
         self.v = rng.normal(0, 0.2, 3 * FILTERS)
         self.c = 0.0
@@ -107,7 +108,8 @@ class CharNet:
 
     def _conv(self, x):
         n = x.shape[1] - WIDE + 1
-        z = self.b + sum(self.w[k][x[:, k : k + n]] for k in range(WIDE))
+        of_class = _SEEN @ self.w
+        z = self.b + sum(of_class[k][x[:, k : k + n]] for k in range(WIDE))
         mid = x[:, WIDE // 2 : WIDE // 2 + n] > 0
         body = np.zeros(n, bool)
         body[SIDE - WIDE // 2 : SIDE + BODY - WIDE // 2] = True
@@ -145,8 +147,7 @@ class CharNet:
                 for k in range(WIDE):
                     hot = np.zeros((flat.shape[0], CLASSES))
                     hot[np.arange(flat.shape[0]), x[own][:, k : k + z.shape[1]].ravel()] = 1
-                    gw[k] = hot.T @ flat
-                gw[:, 0] = 0
+                    gw[k] = _SEEN.T @ (hot.T @ flat)
                 t += 1
                 for j, grad in enumerate((gw, flat.sum(0), pooled.T @ d + 1e-4 * self.v, np.array([d.sum()]))):
                     m[j] = 0.9 * m[j] + 0.1 * grad
@@ -185,7 +186,11 @@ def labelled_findings(n: int = 3600, seed: int = 3) -> list[tuple[str, int, int,
     alnum, hexa = low + up + dig, "0123456789abcdef"
     word = lambda: "".join("bcdfghlmnprstv"[rng.integers(14)] + "aeiou"[rng.integers(5)] for _ in range(rng.integers(1, 5)))
     part = "the and ing tion ion ent er en ung keit lich sch ein der die und que ment con por est los las ado ant for her ver ge be re un an in is or al ar es te de sh sch ch tz pf ck th ns ss zu ach ich auf aus wh ly ble ght str qu ll rr tt".split()
-    long_word = lambda: "".join(part[rng.integers(len(part))] if rng.random() < 0.7 else word()[:3] for _ in range(rng.integers(4, 8)))
+    begin, vowel = "b br c ch cl d dr f fl g gr h j k kl l m n p pf ph pl pr qu r s sch sh sp st str t th tr tz v w wh z".split(), "a e i o u ai au ea ei eu ie oo ou".split()
+    close = "b ch ck d ff g l ld ll m n nd ng nt p r rd rn rt s ss st t th tz x".split()
+    one = lambda of: of[rng.integers(len(of))]
+    syllable = lambda: (one(begin) if rng.random() < 0.85 else "") + one(vowel) + (one(close) if rng.random() < 0.5 else "")
+    long_word = lambda: "".join(one(part) if rng.random() < 0.5 else syllable() for _ in range(rng.integers(4, 8)))
     b64 = lambda k: base64.b64encode(rng.bytes(k)).decode()
     good = [
         lambda: of(hexa, 32, 64), lambda: of(hexa, 16, 40), lambda: "AKIA" + of(up + dig, 16, 16), lambda: b64(int(rng.integers(18, 48))),

@@ -674,13 +674,15 @@ def test_secret_scan_is_linear():
 
 def test_character_network_by_loops():
     net, w = secrets.trained(), secrets.windows("see key: A1b2C3d4E5f6G7h8 end", 9, 25)
+    a, b, seven = (secrets._SEEN[secrets._CLASS[ord(c)]] for c in "aA7")
+    assert a.sum() == 1 and b.sum() == 2 and (a * b).sum() == 1 and (b * seven).sum() == 0 and not secrets._SEEN[0].any()
     x = secrets.encode(w)[0]
     body, side, total, n = np.full(secrets.FILTERS, 0.0), np.full(secrets.FILTERS, 0.0), np.zeros(secrets.FILTERS), 0
     for at in range(len(x) - secrets.WIDE + 1):
         mid = at + secrets.WIDE // 2
         if not x[mid]:
             continue
-        z = np.maximum(net.b + sum(net.w[k, x[at + k]] for k in range(secrets.WIDE)), 0)
+        z = np.maximum(net.b + sum(secrets._SEEN[x[at + k]] @ net.w[k] for k in range(secrets.WIDE)), 0)
         if secrets.SIDE <= mid < secrets.SIDE + secrets.BODY:
             body, total, n = np.maximum(body, z), total + z, n + 1
         else:
@@ -779,3 +781,11 @@ def test_digests_and_likeness_by_brute_force():
         for j in range(len(texts)):
             if len(want[i]) != len(want[j]) or want[i] == want[j] or len(want[i]) == 1:
                 assert fingerprint.likeness(got[i], got[j]) == pytest.approx(like(want[i], want[j]), abs=1e-9)
+
+
+def test_words_in_either_case_are_no_secrets():
+    net = secrets.trained()
+    words = "INTERNATIONALIZATION antidisestablishmentarianism VERANTWORTUNGSBEWUSSTSEIN responsabilidades getUserAccountInformation some_function_name_here".split()
+    assert secrets.scan(["we use " + w + " for all" for w in words], net) == [[]] * len(words)
+    keys = "QWERTYUIOPASDFGHJKLZXCVBNM qzxkvjwhpbtnmrgfdslc sk-abcDEF123ghiJKL456mnoPQR789".split()
+    assert [[t[s:e] for s, _, e in f] for t, f in zip(keys, secrets.scan(keys, net))] == [[k] for k in keys]
