@@ -312,6 +312,17 @@ class TaskStore(_Tables):
         self._publish({"next_token": self.meta["next_token"] + len(got)}, jobs=won, counters=self._moved(won))
         return self.payload_of(won.select(*self._columns("jobs"))).orderBy("priority", "id")
 
+    def claim_wait(self, queue: str, n: int, timeout_ms: int, pause: Callable[[int], None] | None = None, poll_ms: int = 200) -> DataFrame:
+        """``claim`` as soon as the queue has a pending job; no rows after ``timeout_ms``. Due jobs are promoted at each look."""
+        until = self.clock() + timeout_ms
+        pause = pause or (lambda ms: time.sleep(ms / 1000))
+        while True:
+            self.promote()
+            got = self.claim(queue, n)
+            if self.clock() >= until or not got.isEmpty():
+                return got
+            pause(max(0, min(poll_ms, until - self.clock())))
+
     def _pairs(self, settlements) -> DataFrame:
         return settlements.select("id", "token") if isinstance(settlements, DataFrame) else self.spark.createDataFrame(list(settlements), "id STRING, token BIGINT")
 

@@ -46,6 +46,20 @@ def test_life_of_jobs(store, spark, clock):
     assert store.sweep() == 1 and store.get_job(first["id"]) is None and store.stats("q")["done"] == 1 and store.list_queues() == ["q"]
 
 
+def test_claims_wait(store, clock):
+    slept = []
+
+    def pause(ms):
+        slept.append(ms)
+        clock.now += ms
+
+    assert store.claim_wait("q", 2, 350, pause).isEmpty() and slept == [200, 150]
+    store.enqueue([{"queue": "q", "payload": "a", "run_at": clock.now + 300}, {"queue": "r", "payload": "b"}])
+    got = store.claim_wait("q", 2, 10_000, pause).collect()
+    assert [bytes(r["payload"]) for r in got] == [b"a"] and slept[2:] == [200, 200]
+    assert len(store.claim_wait("r", 2, 0, pause).collect()) == 1 and len(slept) == 4
+
+
 def test_reopening_requeues_claims(store, spark, clock):
     store.enqueue([{"queue": "q", "payload": "a"}])
     job = store.claim("q", 1).first()
