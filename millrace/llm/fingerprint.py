@@ -108,7 +108,7 @@ def _features(data: np.ndarray, starts, ends, rank: np.ndarray) -> tuple[np.ndar
     valid = np.arange(m) + WINDOW <= np.asarray(ends)[owner]
     key = np.where(valid, (rank[e] << 40) | np.arange(m, dtype=np.int64), np.int64(1) << 60)
     low, span = key, 1
-    while span < STRETCH:  # doubling: the least of the span windows from here on
+    while span < min(STRETCH, m):  # doubling: the least of the span windows from here on, or of all that are left
         nxt = low.copy()
         nxt[: m - span] = np.minimum(low[: m - span], low[span:])
         low, span = nxt, span * 2

@@ -783,6 +783,25 @@ def test_digests_and_likeness_by_brute_force():
                 assert fingerprint.likeness(got[i], got[j]) == pytest.approx(like(want[i], want[j]), abs=1e-9)
 
 
+def test_digests_of_few_bytes():
+    """A group of texts may have fewer windows than a stretch: the last texts of a range, or one short text."""
+    rank = fingerprint.ranks(fingerprint.histogram([LONG[:6000].encode()]))
+    for n in range(135):
+        for texts in ([LONG[:n].encode()], [LONG[:n].encode(), b"short"], [b"", LONG[:n].encode(), LONG[n : 2 * n].encode()]):
+            got = [[set(np.flatnonzero(np.unpackbits(row.view(np.uint8))).tolist()) for row in chain] for chain in fingerprint.digests(texts, rank)]
+            assert got == [brute_digest(t, rank) for t in texts]
+
+
+def test_fingerprints_where_a_short_text_is_alone(spark):
+    """The texts before it fill a chunk, so the short successor is digested alone."""
+    long = (LONG * (fingerprint.CHUNK // len(LONG) + 1))[: fingerprint.CHUNK]
+    texts = {3: long, 2: LONG[:80], 1: LONG[100:200]}
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r["n_chars"] for i, r in got.items()} == {i: len(t) for i, t in texts.items()}
+    for i, j in ((3, 2), (2, 1), (1, 3)):
+        assert got[i]["edited_sha256"] == hashlib.sha256(fingerprint.edited(texts[i], texts[j]).encode()).hexdigest()
+
+
 def test_words_in_either_case_are_no_secrets():
     net = secrets.trained()
     words = "INTERNATIONALIZATION antidisestablishmentarianism VERANTWORTUNGSBEWUSSTSEIN responsabilidades getUserAccountInformation some_function_name_here".split()
