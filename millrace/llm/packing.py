@@ -14,10 +14,10 @@ The plan's size depends on ``SEQ`` alone, so it goes to every task, where a piec
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,12 @@ SEQ, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_BUCKET = 50_000
 _CACHE_WORDS = 300_000  # words in a generation; two are remembered
-_MARKS = b".,;:!?"
+_AT_ONCE, _LONGEST = 1 << 17, 64  # words at once, and bytes of the longest that are merged together: they bound memory and steps
+_SPACE, _ALNUM, _MARK, _QUOTE, _LEAD, _LATIN = 1, 2, 4, 8, 16, 32  # kinds of bytes; the last two make a letter of Latin-1
+_KINDS = bytes(
+    _SPACE if c in b" \t\n\r\x0b\x0c" else _ALNUM if chr(c).isalnum() and c < 128 else _QUOTE if c == 0x27 else _MARK if 0x20 < c < 0x7F else _LEAD if c == 0xC3
+    else _LATIN if 0x80 <= c < 0xC0 and c not in (0x97, 0xB7) else 0 for c in range(256)
+)
 # how byte-level vocabularies write a byte: itself where it prints, else the next character from 256 on
 _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
@@ -44,6 +49,84 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Merges:
+    """Byte-pair merges of many words at once: in each step every word merges its best pair, the leftmost of equals."""
+
+    NONE, EDGE = (1 << 63) - 1, 0xFFFF
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        chars = [chr(_BYTE_CHARS.get(b, b)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in chars], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in chars], np.int64)
+        parts = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.made = np.array([vocab[x + y] for x, y in parts], np.int64)
+        self.slots = 1 << (4 * len(parts)).bit_length()  # a pair stands in the slot of its hash or in the next free one
+        self.pairs = np.full(self.slots, -1, np.int64)
+        self.ranks = np.full(self.slots, -1, np.int64)
+        pairs = np.array([vocab[x] << 16 | vocab[y] for x, y in parts], np.int64)
+        for rank, (pair, at) in enumerate(zip(pairs.tolist(), self._slot(pairs).tolist())):
+            while self.pairs[at] not in (-1, pair):
+                at = (at + 1) % self.slots
+            self.pairs[at], self.ranks[at] = pair, rank
+
+    @classmethod
+    def read(cls, path: str) -> _Merges | None:
+        """Merges of a tokenizer file; none where its model is of another kind."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        if max(vocab.values()) >= cls.EDGE or any(c + e not in vocab for c in (chr(_BYTE_CHARS.get(b, b)) for b in range(256)) for e in ("", suffix)):
+            return None
+        return cls(vocab, model["merges"], suffix)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair * 0x9E3779B1 >> 15) & (self.slots - 1)
+
+    def _key(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of each pair above its place; NONE where there is no such merge."""
+        pair = left << 16 | right
+        slot = self._slot(pair)
+        there, rank = self.pairs[slot], self.ranks[slot]
+        open_ = np.flatnonzero((there != pair) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.slots
+            now = self.pairs[slot[open_]]
+            there[open_], rank[open_] = now, self.ranks[slot[open_]]
+            open_ = open_[(now != pair[open_]) & (now >= 0)]
+        return np.where(there == pair, rank << 32 | at, self.NONE)
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, none empty, in ascending order of length."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n, end = len(data), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        first = np.concatenate([[0], end[:-1]])
+        sym = np.append(self.inner[data], self.EDGE)  # place n stands beyond the edges of all words
+        sym[end - 1] = self.last[data[end - 1]]
+        place = np.arange(n + 1)
+        after, before = np.append(place[1:], n), place - 1
+        after[end - 1], before[first] = n, n
+        alive = np.ones(n, bool)
+        key = self._key(sym, sym[after], place)
+        go = first
+        while len(go):
+            best = np.minimum.reduceat(key[go[0] : n], go - go[0])  # a word that is done has no pair, so it may join the segment before it
+            more = best != self.NONE
+            go, best = go[more], best[more]
+            at = best & 0xFFFFFFFF
+            sym[at] = self.made[best >> 32]
+            gone = after[at]
+            alive[gone], key[gone] = False, self.NONE
+            right, left = after[gone], before[at]
+            after[at], before[right] = right, at
+            key[at] = self._key(sym[at], sym[right], at)
+            key[left] = self._key(sym[left], sym[at], left)
+        out = sym[:n][alive].astype("<u4").tobytes()
+        stop = (4 * np.cumsum(np.add.reduceat(alive, first, dtype=np.int64))).tolist()
+        return [out[lo:hi] for lo, hi in zip([0, *stop], stop)]
+
+
 class _Words:
     """A tokenizer and the packed ids of words that this worker met lately, in two generations."""
 
@@ -52,56 +135,47 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.merges = _Merges.read(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def of(self, here: set[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of words of normalised texts."""
+    def of(self, here: list[bytes]) -> list[bytes]:
+        """Packed ids of different words of normalised texts."""
         if len(self.young) > _CACHE_WORDS:
             self.old, self.young = self.young, {}
         known, old = self.young, self.old
-        new = here.difference(known)
-        seen = new.intersection(old)
-        known.update(zip(seen, map(old.__getitem__, seen)))
-        new -= seen
-        cut, need = {}, set()
-        for w in new:
-            if w[-1] in _MARKS:
-                core = w.rstrip(_MARKS)
-                if core and core.decode()[-1].isalnum():
-                    cut[w] = core, w[len(core) :]
-                    need.add(core)
-                    need.add(cut[w][1])
-                    continue
-            need.add(w)
-        need.difference_update(known)
-        self._learn(need)
-        # a table of this batch alone stays in the processor's cache; words with marks are not remembered
-        out = {w: known[w] for w in here.difference(cut)}
-        for w, (core, marks) in cut.items():
-            out[w] = known[core] + known[marks]
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, model, rest = self.young, self.full.model, []
+        found = list(map(known.get, here))
+        new = []
+        for w in (w for w, ids in zip(here, found) if ids is None):
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        self._learn(new)
+        return [known[w] if ids is None else ids for w, ids in zip(here, found)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, model = self.young, self.full.model
+        letters, rest = [], []  # letters alone are one word to the tokenizer: its model needs no more than their bytes
         for w in new:
             if w.isascii():
-                if not w.isalpha():
-                    rest.append(w)
-                    continue
-                x = w.decode()
-            else:
-                x = w.decode()
-                if x.isalpha():
-                    x = w.decode("latin-1").translate(_BYTE_CHARS)
-                elif unicodedata.is_normalized("NFC", x):
-                    rest.append(w)
-                    continue
-                else:  # lower-casing left characters that composing once more would join
-                    known[w] = _packed([t.id for part, _ in self.full.pre_tokenizer.pre_tokenize_str(x) for t in model.tokenize(part)])
-                    continue
-            # letters alone are one word to the tokenizer: its model needs no more than their bytes
-            known[w] = array("I", [t.id for t in model.tokenize(x)]).tobytes()
+                (letters if w.isalpha() else rest).append(w)
+                continue
+            x = w.decode()
+            if x.isalpha():
+                letters.append(w)
+            elif unicodedata.is_normalized("NFC", x):
+                rest.append(w)
+            else:  # lower-casing left characters that composing once more would join
+                known[w] = _packed([t.id for part, _ in self.full.pre_tokenizer.pre_tokenize_str(x) for t in model.tokenize(part)])
+        letters.sort(key=len)
+        most = bisect.bisect_right(letters, _LONGEST if self.merges else 0, key=len)
+        for at in range(0, most, _AT_ONCE):
+            part = letters[at : min(at + _AT_ONCE, most)]
+            known.update(zip(part, self.merges.ids(part)))
+        for w in letters[most:]:
+            known[w] = _packed([t.id for t in model.tokenize(w.decode("latin-1").translate(_BYTE_CHARS))])
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for w, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
@@ -127,21 +201,55 @@ def _normal(text: str) -> bytes:
     return (text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))).encode("utf-8", "replace")
 
 
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of normalised texts, and the place where each text's words end.
+
+    A word ends at ASCII white space, between a letter or digit (of ASCII or Latin-1) and an ASCII mark after it, and
+    between a mark and a letter or digit of ASCII after it, unless the mark is an apostrophe, which may begin a word.
+    """
+    joined = b"\n".join([*texts, b""])
+    data, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KINDS), np.uint8)
+    solid = kind != _SPACE
+    before, here = kind[:-1], kind[1:]
+    letter = before == _ALNUM
+    letter[1:] |= (before[:-1] == _LEAD) & (before[1:] == _LATIN)
+    head = solid.copy()
+    head[1:] &= ~solid[:-1] | (letter & ((here & (_MARK | _QUOTE)) > 0)) | ((before == _MARK) & (here == _ALNUM))
+    kept = data[solid]
+    starts = np.append(np.flatnonzero(head[solid]), len(kept))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(kept)])
+    return words, np.searchsorted(np.flatnonzero(head), np.cumsum([len(t) + 1 for t in texts]))
+
+
 def encode_packed(texts: list[str], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
     This vocabulary composes, lower-cases, never joins characters across white space (ASCII white space is
-    a subset of what it drops), and parts letters or digits from the marks that follow them; so a
-    text's ids are those of the words of its normal form and of the marks after them.
+    a subset of what it drops), and parts letters or digits from marks; so a text's ids are those of the
+    words and marks of its normal form. Ids of the different words of all texts stand one after another,
+    and every word is a run of them.
     """
     own = _words(path)
-    words = [[] if "<|" in t else _normal(t).split() for t in texts]
-    get = own.of(set().union(*words)).__getitem__
-    for t, ws in zip(texts, words):
+    words, ends = _split([b"" if "<|" in t else _normal(t) for t in texts])
+    found = words.dictionary_encode()
+    _, stops, data = found.dictionary.buffers()
+    stops, data = (np.frombuffer(stops, np.int64)[: len(found.dictionary) + 1].tolist(), data.to_pybytes()) if len(words) else ([], b"")
+    which, table = found.indices.to_numpy(), own.of([data[lo:hi] for lo, hi in zip(stops, stops[1:])])
+    size = np.fromiter(map(len, table), np.int64, len(table)) >> 2
+    ids, first = np.frombuffer(b"".join(table), "<u4"), np.cumsum(size) - size
+    parts, done = [], [np.zeros(1, np.int64)]
+    for at in range(0, len(which), _AT_ONCE):
+        part = which[at : at + _AT_ONCE]
+        n = size[part]
+        stop = np.cumsum(n)
+        parts.append(ids[np.repeat(first[part] - stop + n, n) + np.arange(stop[-1])].tobytes())
+        done.append(stop + done[-1][-1])
+    flat, stops = b"".join(parts), (4 * np.concatenate(done)[ends]).tolist()
+    for t, lo, hi in zip(texts, [0, *stops], stops):
         if "<|" in t:  # it may hold the string of a special token, whose case matters
             yield _packed(own.full.encode(t, add_special_tokens=False).ids)
         else:
-            yield b"".join(map(get, ws))
+            yield flat[lo:hi]
 
 
 def pieces(docs: DataFrame, path: str, seq: int = SEQ, end: int = END) -> DataFrame:

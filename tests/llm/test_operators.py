@@ -144,6 +144,36 @@ def test_encode():
     assert got == reference_ids(texts)
 
 
+def test_merges_equal_the_model():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    model, own, rng = Tokenizer.from_file(path).model, packing._Merges.read(path), random.Random(6)
+    parts = ["th", "er", "in", "tion", "a", "e", "s", "z", "q", "ñ", "ß", "é", "д", "日", "ing", "ll"]
+    words = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 12))).encode() for _ in range(20_000)} | {b"a" * n for n in range(1, 65)} | {b"in" * n for n in range(1, 30)}
+    words = sorted(words, key=lambda w: (len(w), w))
+    want = [[t.id for t in model.tokenize(w.decode("latin-1").translate(packing._BYTE_CHARS))] for w in words]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(words)] == want
+
+
+def test_words_are_learned_apart_from_marks(monkeypatch):
+    """A word costs the tokenizer once, whatever marks touch it; apostrophes and other scripts stay as they were."""
+    path = packing.vocabulary_path()
+    monkeypatch.setattr(packing, "_tokenizers", {})
+    texts = ['(word) "word" word*** #word word. [word], <word>-word/word_word', "größe) größe# (größe", "word's 'word' x'll --'s ?'s 7's a'", "", " \n"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.encode_packed(texts, path)]
+    assert got == reference_ids(texts)
+    assert {w for w in packing._words(path).young if b"word" in w and b"'" not in w} == {b"word"}
+    assert [list(packing.encode_packed(t, path)) for t in ([], [""], [" "], ["<|endoftext|>"])] == [[], [b""], [b""], [np.array([49407], "<u4").tobytes()]]
+
+
+def test_long_words_and_many_words(monkeypatch):
+    """Words longer than those that are merged together, and more words than are taken at once."""
+    monkeypatch.setattr(packing, "_AT_ONCE", 7)
+    texts = ["ab" * 31 + " " + "ab" * 32 + " " + "ab" * 33 + " " + "xyz" * 400, "é" * 32 + " " + "é" * 33, LONG[:3000], "a b  c", ""]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_packed(texts, packing.vocabulary_path())] == reference_ids(texts)
+
+
 def check_packing(got, docs):
     want = {}
     for (i, t, *_), ids in zip(docs, reference_ids([t or "" for _, t, *_ in docs])):
